@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import distinctive, formatting, frequency, packing, sitelines, tokens
+from glosswork.llm import distinctive, formatting, frequency, packing, reading, sitelines, tokens
 from glosswork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,17 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p9_packing(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return reading.reading_levels(docs, reading.fit(docs, table(spark, d, "reading_labels"))).select("doc_id", "level")
+
+
+def p10_words(spark: SparkSession, d: str) -> DataFrame:
+    """Difficulty of every word in enough labelled documents."""
+    sample = reading.labelled(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    return reading.difficulties(sample).select("word", "docs", F.round("difficulty", 6).alias("difficulty"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 

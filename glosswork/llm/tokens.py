@@ -19,7 +19,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern of this family of vocabularies, which splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fixed value: the characters with the Unicode property White_Space.
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces between safe boundaries: no token of PATTERN reaches from other characters into the white space behind them.
 _PIECE = re.compile(f"[{_SPACES}]*+[^{_SPACES}]++|[{_SPACES}]++")
 _LEAD = re.compile(f"[{_SPACES}]*+")
