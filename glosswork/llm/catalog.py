@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import distinctive, formatting, frequency, packing, reading, sitelines, tokens
+from glosswork.llm import distinctive, formatting, frequency, neardup, packing, reading, sitelines, tokens
 from glosswork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def p1_vocab(spark: SparkSession, d: str) -> DataFrame:
     return frequency.refreshed_vocab(table(spark, d, "preprocessed_docs"), table(spark, d, "vocab"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, d, "crawled_pages"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "crawled_pages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.copies(table(spark, d, "crawled_pages"))
 
