@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import distinctive, formatting, frequency, neardup, packing, reading, sitelines, tokens
+from glosswork.llm import distinctive, formatting, frequency, mainbody, neardup, packing, reading, residue, sitelines, tokens
 from glosswork.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "crawled_pages"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(table(spark, d, "crawled_pages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.copies(table(spark, d, "crawled_pages"))
 
@@ -54,6 +58,17 @@ def p5_distinctive(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.top_terms(distinctive.term_scores(table(spark, d, "preprocessed_docs")), by="llr").select("doc_id", "term", "place")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "crawled_pages")
+    found = mainbody.lines_around(pages, mainbody.fit(pages))
+    return found.join(residue.residue_pages(pages), "page_id", "left_anti").select("page_id", "line_no")
+
+
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "crawled_pages")
+    return mainbody.bodies(pages, mainbody.fit(pages))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.repeated_blocks(table(spark, d, "crawled_pages"))
 
