@@ -1,3 +1,206 @@
-"""SQL counterparts of the named queries."""
+"""SQL for DuckDB that says the same as the named queries, written apart from them."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from glosswork.functions.analyze import NUMBER, PUNCT, SPACES, TAG, URL, WORD, WORDS
+from glosswork.plans.catalog import LANGUAGE, LEMMAS, MARKS, SEARCH
+from glosswork.resources import CZECH_SUFFIXES, STOPWORDS
+
+_DATE = r"\b\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}{2,4}\b|\b\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}\b"
+_TOKEN = f"{URL}|{_DATE}|{NUMBER}|{WORD}|{TAG}|{PUNCT}"
+_CONTENT = f"regexp_matches(tok, '^[{WORDS}]') and not regexp_matches(tok, '^(?:https?://.|www\\..)')"
+
+
+def _fold(x: str) -> str:
+    return f"strip_accents({x})"
+
+
+def _filled(x: str) -> str:
+    return f"regexp_matches({x}, '[^{SPACES}]')"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{SPACES}]+', ''), '[{SPACES}]+$', '')"
+
+
+def _stop(language: str) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in STOPWORDS[language]) + ")"
+
+
+def _terms(language: str = LANGUAGE, name: str = "terms", source: str = "documents", key: str = "doc_id::varchar", text: str = "text") -> str:
+    return f"""{name}_raw as (select {key} as doc_id, unnest(regexp_extract_all({text}, '{_TOKEN}')) as tok from {source} where {text} is not null),
+{name} as (select doc_id, term from (select doc_id, {_fold('lower(tok)')} as term from {name}_raw where {_CONTENT}) where length(term) >= 2 and term not in {_stop(language)})"""
+
+
+_CASES = " ".join(f"when length(term) >= {max(5, len(s) + 3)} and ends_with(term, '{s}') then left(term, length(term) - {len(s)})" for s in CZECH_SUFFIXES)
+_STEM = f"case {_CASES} else term end"
+
+_DOCS = f"docs as (select doc_id::varchar as doc_id, text from documents where text is not null and {_filled('text')})"
+_INDEX = """postings as (select term, doc_id, count(*)::int as tf from terms group by 1, 2),
+lengths as (select doc_id, coalesce(dl, 0) as dl from docs left join (select doc_id, sum(tf) as dl from postings group by 1) using (doc_id)),
+stats as (select count(*) as n, avg(dl) as avgdl from lengths),
+table_ as (select term, df, log10(n / df) as idf from (select term, count(*) as df from postings group by 1), stats),
+norms as (select doc_id, sqrt(sum(((1 + log10(tf)) * idf) ** 2)) as norm from postings join table_ using (term) group by 1)"""
+
+
+def _with(language: str = LANGUAGE, stem: bool = False) -> str:
+    if not stem:
+        return f"with {_terms(language)}, {_DOCS}, {_INDEX}"
+    return f"with {_terms(language, 'bare')}, terms as (select doc_id, {_STEM} as term from bare), {_DOCS}, {_INDEX}"
+
+
+def _queries(language: str = LANGUAGE, stem: bool = False, rows: str = "(select qid, description from eval_queries)") -> str:
+    made = _terms(language, "asked_", f"{rows} as q_", "qid", "description")
+    term = _STEM if stem else "term"
+    return f"{made}, asked as (select qid, term, count(*) as q_tf from (select doc_id as qid, {term} as term from asked_) group by 1, 2)"
+
+
+_ONE = _queries(rows=f"(select 'q' as qid, '{SEARCH}' as description)")
+_BM25 = """scored as (select qid, doc_id, round(sum(q_tf * greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * (case when dl = 0 then 1 else dl end) / avgdl))), 6) as score
+from asked join table_ using (term) join postings using (term) join lengths using (doc_id), stats group by 1, 2)"""
+_COSINE = """vector as (select qid, term, idf, (1 + log10(q_tf)) * idf as w from asked join table_ using (term)),
+scored as (select qid, doc_id, round(sum(w * (1 + log10(tf)) * v.idf) / nullif(any_value(q_norm) * any_value(norm), 0), 6) as score
+from vector v join postings using (term) join (select qid, sqrt(sum(w * w)) as q_norm from vector group by 1) using (qid) join norms using (doc_id) group by 1, 2 having score > 0)"""
+
+
+def _top(k: int, columns: str = "qid, doc_id, score, rank") -> str:
+    return f"select {columns} from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from scored) where rank <= {k}"
+
+
+def _bool(expression: str) -> str:
+    return f"with {_terms()}, {_DOCS} select doc_id, 1.0::double as score from ({expression})"
+
+
+def _has(term: str) -> str:
+    return f"(select doc_id from terms where term = '{term}')"
+
+
+_ALL = "(select doc_id from docs)"
+_QRELS = "qrels as (select qid, doc_id from docs, eval_queries where trim(description) <> '' and contains(lower(text), lower(description)))"
+_METRICS = f"""{_with()}, {_queries()}, {_BM25}, run as ({_top(100)}), {_QRELS},
+placed as (select r.qid, r.doc_id, row_number() over (partition by r.qid order by score desc, r.doc_id desc) as place, case when q.doc_id is null then 0 else 1 end as hit from run r left join qrels q on r.qid = q.qid and r.doc_id = q.doc_id),
+counted as (select *, sum(hit) over (partition by qid order by place) as hits from placed),
+judged as (select qid, count(*) as relevant, sum(1 / log2(i + 1)) as ideal from (select qid, row_number() over (partition by qid) as i from qrels) group by 1),
+per as (select qid, round(sum(hit * hits / place) / any_value(relevant), 6) as ap, round(sum(case when place <= 10 then hit else 0 end) / 10, 6) as p_at_k, round(sum(hit / log2(place + 1)) / any_value(ideal), 6) as ndcg, round(coalesce(1 / min(case when hit = 1 then place end), 0), 6) as rr from counted join judged using (qid) group by 1)"""
+
+
+def _marked(text: str) -> str:
+    for term in sorted(MARKS, key=len, reverse=True):
+        text = f"regexp_replace({text}, '({term})', '[[\\1]]', 'gi')"
+    return text
+
+
+_LONGEST = sorted(MARKS, key=len, reverse=True)
+_AT = "case " + " ".join(f"when instr(lower(body), '{t}') > 0 then instr(lower(body), '{t}') - 1" for t in _LONGEST) + " end"
+_SIZE = "case " + " ".join(f"when instr(lower(body), '{t}') > 0 then {len(t)}" for t in _LONGEST) + " end"
+_CUT = f"""cut as (select doc_id, body, case when at is null then left(body, 220) || case when length(body) > 220 then '...' else '' end
+else case when at > 80 then '...' else '' end || substr(body, greatest(0, at - 80) + 1, least(length(body), at + size + 120) - greatest(0, at - 80)) || case when at + size + 120 < length(body) then '...' else '' end end as piece
+from (select *, {_AT} as at, {_SIZE} as size from (select doc_id, {_strip('text')} as body from documents)))"""
+_SNIPPET = f"case when coalesce(length(body), 0) = 0 then '[no text available for this document]' else {_marked('piece')} end as snippet"
+
+
+def _or_null(x: str) -> str:
+    return f"nullif({x}, '')"
+
+
+
+def _first(keys: str) -> str:
+    return "coalesce(" + ", ".join(_or_null(_strip(f"{k}::varchar")) for k in keys.split()) + ")"
+
+
+_PAGE_META = f"""pages_m as (select page_id as n, coalesce(nullif(trim(url), ''), 'doc_' || page_id) as doc_id, nullif(trim(url), '') as url, coalesce({_or_null(_strip('title'))}, 'Unknown') as title from crawled_pages),
+pages_k as (select n, key, title, url from (select n, unnest(list_distinct([doc_id, url])) as key, title, url from pages_m) where key is not null and key <> ''),
+pages_last as (select key, title, url from (select *, row_number() over (partition by key order by n desc) as place from pages_k) where place = 1)"""
+
+_PAGE_HTML = "(select page_id, url, title, author, topic, publication_date, article_text from crawled_pages)"
+_MANY = ", ".join(f"('{a}', '{b}')" for a, b in LEMMAS)
+_DIGEST = "sha256(doc_id || chr(1) || text)"
+_PARTS = " || '-' || ".join(f"coalesce(sum(('0x' || substr({_DIGEST}, {1 + 8 * k}, 8))::bigint), 0)::varchar" for k in range(4))
+_ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _part(before: str, value: str, after: str) -> str:
+    return f"coalesce('{before}' || {_ESC.format(value)} || '{after}', '')"
+
+
+_HTML = f"""html as (select page_id, url, '<html><head>' || {_part('<title>', 'title', '</title>')} || {_part('<meta name="author" content="', 'author', '">')} || '</head><body>'
+|| {_part('<a class="topic" href="/t">', 'topic', '</a>')} || {_part('<time class="entry-date" datetime="', 'publication_date', '"></time>')} || {_part('<a href="', 'url', '">more</a><a href="/t">again</a>')}
+|| coalesce('<article id="clanok"><p>' || replace({_ESC.format('article_text')}, chr(10), '</p>' || chr(10) || '<p>') || '</p></article>', '') || '</body></html>' as html from crawled_pages)"""
+_LINKS = "links as (select page_id, url from crawled_pages where url is not null union all select page_id, '/t' from crawled_pages where topic is not null or url is not null)"
+
+SQL: dict[str, str] = {
+    "tokenize_typed": f"""with pieces as (select doc_id, unnest(p) as token, unnest(range(1, len(p) + 1)) as i from (select doc_id, regexp_extract_all(text, '{_TOKEN}|[{SPACES}]+') as p from documents where text is not null)),
+placed as (select doc_id, i, token, coalesce(sum(length(token)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as position from pieces)
+select doc_id, row_number() over (partition by doc_id order by i) as n, token, position::bigint as position, length(token) as length,
+case when regexp_matches(token, '^(?:https?://.|www\\..)') then 'URL' when regexp_full_match(token, '\\p{{Nd}}{{1,2}}[./-]\\p{{Nd}}{{1,2}}[./-]\\p{{Nd}}{{2,4}}|\\p{{Nd}}{{4}}-\\p{{Nd}}{{2}}-\\p{{Nd}}{{2}}') then 'DATE' when regexp_full_match(token, '{NUMBER}') then 'NUMBER'
+when regexp_matches(token, '^[{WORDS}]') then 'WORD' when regexp_full_match(token, '<[^>]+>') then 'TAG' else 'PUNCT' end as type from placed where not regexp_matches(token, '^[{SPACES}]')""",
+    "simple_tokenize": f"select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) as term from documents where text is not null) group by 1, 2",
+    "split_tokenize": "with p as (select doc_id, unnest(s) as token, unnest(range(1, len(s) + 1)) as n from (select doc_id, string_split(title, ' ') as s from documents where title is not null)) select doc_id, n, token, coalesce(sum(length(token) + 1) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as position from p",
+    "whitespace_tokenize": f"select row_id, len(list_filter(regexp_split_to_array(coalesce(normalized_text, ''), '[{SPACES}]+'), lambda x: x <> '')) as tokens from preprocessed_docs",
+    "token_type_filter": f"select doc_id, count(*) as tokens, count(distinct tok) as forms from (select doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) as tok from documents where text is not null) where {_CONTENT} group by 1",
+    "stopword_filter": f"select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '{WORD}')) as word from documents where text is not null) where word not in {_stop(LANGUAGE)} and {_fold('word')} not in {_stop(LANGUAGE)} group by 1",
+    "min_length_filter": f"select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) as word from documents where text is not null) where length(word) >= 2 group by 1",
+    "strip_diacritics": f"select doc_id, {_fold('lower(title)')} as folded from documents",
+    "terms_baseline": f"""with t as (select doc_id, list_filter(list_transform(list_filter(regexp_extract_all(text, '{_TOKEN}'), lambda tok: {_CONTENT}), lambda tok: {_fold('lower(tok)')}), lambda x: length(x) >= 2 and x not in {_stop(LANGUAGE)}) as s from documents where text is not null)
+select doc_id, unnest(range(0, len(s)))::int as n, unnest(s) as term from t""",
+    "stem_cs": f"with {_terms('cs')} select distinct term, {_STEM} as stem from terms",
+    "lemma_lookup": f"with {_terms()}, best as (select form, min(lemma) as lemma from (values {_MANY}) v(form, lemma) group by 1) select coalesce(lemma, term) as lemma, count(*) as n from terms left join best on form = term group by 1",
+    "preprocess": f"""with t as (select page_id::varchar as doc_id, url, list_filter(list_transform(list_filter(regexp_extract_all(article_text, '{_TOKEN}'), lambda tok: {_CONTENT}), lambda tok: {_fold('lower(tok)')}), lambda x: length(x) >= 2 and x not in {_stop(LANGUAGE)}) as s
+from crawled_pages where article_text is not null and {_filled('article_text')} and trim(article_text) <> 'No Article Text Found') select doc_id, url, array_to_string(s, ' ') as normalized_text from t""",
+    "vocabulary": f"with {_terms()} select term, count(*) as freq from terms group by 1",
+    "postings": f"with {_terms()} select term, doc_id, count(*)::int as tf from terms group by 1, 2",
+    "term_stats": f"{_with()} select term, df, round(idf, 6) as idf from table_",
+    "doc_stats": f"{_with()} select doc_id, dl::bigint as dl, round(coalesce(norm, 0), 6) as norm from lengths left join norms using (doc_id)",
+    "collection_stats": f"{_with()} select n, round(avgdl, 6) as avgdl from stats",
+    "index_rebuild": f"""with {_terms()}, postings as (select term, doc_id, count(*)::int as tf from terms group by 1, 2), size as (select count(distinct doc_id) as n from postings),
+table_ as (select term, log10(n / df) as idf from (select term, count(*) as df from postings group by 1), size)
+select doc_id, sum(tf)::bigint as dl, round(sqrt(sum(((1 + log10(tf)) * idf) ** 2)), 6) as norm from postings join table_ using (term) group by 1""",
+    "index_build": f"{_with()} select 'postings' as part, count(*) as size, true as current from postings union all select 'terms', count(*), true from table_ union all select 'docs', count(*), true from docs union all select 'stats', 1, true",
+    "fingerprint": f"with {_DOCS} select count(*) as documents, {_PARTS} as fingerprint from docs",
+    "bm25_search": f"{_with()}, {_ONE}, {_BM25} {_top(10, 'doc_id, score, rank')}",
+    "tfidf_search": f"{_with()}, {_ONE}, {_COSINE} {_top(10, 'doc_id, score, rank')}",
+    "bm25_topk": f"{_with()}, {_queries()}, {_BM25} {_top(10)}",
+    "tfidf_topk": f"{_with()}, {_queries()}, {_COSINE} {_top(10)}",
+    "bm25_stemmed": f"{_with('cs', True)}, {_queries('cs', True)}, {_BM25} {_top(10)}",
+    "candidates": f"{_with()}, {_queries()} select distinct qid, doc_id from asked join postings using (term)",
+    "term_breakdown": f"{_with()}, {_queries()}, v as (select qid, term, q_tf as tf, 1 + log10(q_tf) as wtf, (1 + log10(q_tf)) * idf as tfidf from asked join table_ using (term)) select qid, term, tf, round(wtf, 6) as wtf, round(tfidf, 6) as tfidf, round(coalesce(tfidf / nullif(sqrt(sum(tfidf * tfidf) over (partition by qid)), 0), 0), 6) as normalised from v",
+    "trec_run": f"{_with()}, {_queries()}, {_BM25} select format('{{}} Q0 {{}} {{}} {{:.6f}} bm25', qid, doc_id, rank, score) as line from ({_top(1000)})",
+    "bool_and": _bool(f"{_has('recepty')} intersect {_has('koncerty')}"),
+    "bool_or": _bool(f"{_has('recepty')} union {_has('koncerty')}"),
+    "bool_not": _bool(f"{_ALL} except {_has('recepty')}"),
+    "bool_precedence": _bool(f"{_has('recepty')} union ({_has('koncerty')} intersect ({_ALL} except {_has('rodinu')}))"),
+    "bool_implicit_or": _bool(f"{_has('recepty')} union {_has('koncerty')} union {_has('technologie')} union {_has('vysledky')}"),
+    "bool_malformed": "select '' as doc_id, 1.0::double as score where false",
+    "bool_batch": f"""with {_terms()}, {_DOCS} select 'b1' as qid, count(*) as hits from ({_has('recepty')} intersect {_has('koncerty')}) union all select 'b2', count(*) from ({_ALL} except {_has('recepty')}) union all select 'b3', 0
+union all select 'b4', count(*) from ({_has('technologie')} union ({_ALL} except {_has('rodinu')})) union all select 'b5', count(*) from (select distinct doc_id from terms where term = 'nikdenic')""",
+    "highlight": f"select doc_id, {_marked('title')} as marked from documents",
+    "kwic": f"with {_CUT} select doc_id, {_SNIPPET} from cut",
+    "ranked_snippets": f"{_with()}, {_ONE}, {_BM25}, best as ({_top(3)}), {_CUT} select rank, doc_id::varchar as doc_id, snippet from (select b.rank, b.doc_id, {_SNIPPET} from best b join cut c on b.doc_id = c.doc_id::varchar)",
+    "metadata_enrich": f"with {_PAGE_META} select key, title, url from pages_last",
+    "metadata_merge": f"with {_PAGE_META}, own as (select doc_id::varchar as key, coalesce({_or_null(_strip('title'))}, 'Unknown') as title, null::varchar as url from documents) select * from own union all select * from pages_last where key not in (select key from own)",
+    "results_display": f"{_with()}, {_queries()}, {_BM25}, best as ({_top(10)}) select qid, rank, left(coalesce(title, 'Unknown'), 30) as title, b.doc_id, format('{{:.4f}}', score) as score from best b left join documents d on b.doc_id = d.doc_id::varchar",
+    "get_document": "select doc_id, coalesce(text, '') as text from documents where doc_id = 1",
+    "eval_metrics": f"{_METRICS} select * from per",
+    "eval_means": f"{_METRICS} select count(*) as queries, round(avg(ap), 6) as map, round(avg(p_at_k), 6) as p_at_k, round(avg(ndcg), 6) as ndcg, round(avg(rr), 6) as mrr from per",
+    "detect_text_keys": "with head as (select * from crawled_pages order by page_id limit 200), c as ("
+    + " union all ".join(f"select '{k}' as key, count(*) as filled from head where {k} is not null and {_filled(k)}" for k in "url title author topic publication_date hashed_content article_text scraped_at".split())
+    + ") select * from c where filled > 0",
+    "normalize_docs": f"select coalesce(nullif(url, ''), 'doc_' || page_id) as id, coalesce(nullif(url, ''), 'doc_' || page_id) as doc_id, url, concat_ws(chr(10) || chr(10), {_or_null(_strip('title'))}, {_or_null(_strip('article_text'))}) as text from crawled_pages where concat_ws('', {_strip('title')}, {_strip('article_text')}) <> ''",
+    "evaluation_docs": f"select coalesce({_first('id doc_id url')}, 'd' || row_id) as doc_id, {_first('normalized_text')} as text from preprocessed_docs where {_first('normalized_text')} is not null",
+    "evaluation_queries": f"select {_first('qid')} as qid, {_first('description')} as text from eval_queries where {_first('description')} is not null",
+    "preprocessed_texts": f"select doc_id, normalized_text as text from (select coalesce(nullif(doc_id, ''), 'doc_' || row_id) as doc_id, normalized_text, row_number() over (partition by coalesce(nullif(doc_id, ''), 'doc_' || row_id) order by row_id desc) as place from preprocessed_docs where normalized_text is not null and {_filled('normalized_text')}) where place = 1",
+    "dedupe_last": "select row_id, doc_id, pipeline from (select *, row_number() over (partition by doc_id order by row_id desc) as place from preprocessed_docs) where place = 1",
+    "size_text": "select doc_id, case when n_chars is null then null when s < 1024 then s::bigint || ' B' when s < 1024 ** 2 then format('{:.1f} KB', s / 1024) when s < 1024 ** 3 then format('{:.1f} MB', s / 1024 ** 2) when s < 1024 ** 4 then format('{:.1f} GB', s / 1024 ** 3) else format('{:.1f} TB', s / 1024 ** 4) end as size from (select doc_id, n_chars, n_chars::double ** 3 as s from documents)",
+    "content_md5": "select page_id, md5(article_text) as md5 from crawled_pages",
+    "html_title": "select page_id, coalesce(trim(title), 'No Title Found') as title from crawled_pages",
+    "html_fields": "select page_id, coalesce(trim(author), 'No Author Found') as author, coalesce(trim(topic), 'No Topic Found') as topic, coalesce(trim(publication_date), 'No Publication Date Found') as publication_date from crawled_pages",
+    "html_article": f"select page_id, case when article_text is null then 'No Article Text Found' else array_to_string(list_transform(string_split(article_text, chr(10)), lambda x: {_strip('x')}), '') end as article_text from crawled_pages",
+    "html_records": f"with {_HTML} select h.url, coalesce(trim(p.title), 'No Title Found') as title, md5(html) as hashed_content from html h join crawled_pages p using (page_id) where h.url is not null",
+    "html_links": f"with {_LINKS} select page_id, url from links",
+    "link_filter": f"with {_LINKS} select page_id, url from links where starts_with(url, 'https://') and not regexp_matches(url, '^https://[^/?#]*(?:/sport/|/recepty/)')",
+    "frontier_antijoin": "select distinct url from crawled_pages where url <> '' and url not in (select url from frontier where url is not null)",
+    "sitemap_urls": "select entry_id as source, url from frontier where url <> '' and not contains(url, chr(10))",
+    "robots_rules": "select entry_id as source, rule, value from (select entry_id, unnest(['Disallow', 'Crawl-delay', 'Sitemap', 'Allow']) as rule, unnest(['/a/' || entry_id, request_delay::varchar, 's.xml', '']) as value from frontier where request_delay is not null)",
+    "stream_ingest": f"with {_terms()} select term, count(distinct doc_id) as df from terms group by 1",
+    "stream_first_seen": "select distinct url from crawled_pages where url is not null",
+}
