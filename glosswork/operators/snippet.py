@@ -71,10 +71,10 @@ def result_table(ranked: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def size_text(size: Column) -> Column:
-    """A number of bytes in B, KB, MB, GB or TB with one digit."""
+    """A number of bytes in B, KB, MB, GB or TB with one digit; null for null."""
     out = None
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         one = F.format_string("%d B", size.cast("bigint")) if k == 0 else F.format_string(f"%.1f {unit}", size / 1024**k)
         limit = size < 1024 ** (k + 1)
         out = F.when(limit, one) if out is None else out.when(limit, one) if k < 4 else out.otherwise(one)
-    return out
+    return F.when(size.isNotNull(), out)

@@ -353,11 +353,16 @@ def robots_rules(spark: SparkSession, d: str) -> DataFrame:
     return crawl.robots_rules(table(spark, d, "frontier").select(F.col("entry_id").alias("source"), body.alias("body")))
 
 
+def _glob(d: str, name: str) -> str:
+    """A pattern for the table, be it a file or a folder; a stream takes a plain path for a folder only."""
+    return f"{d.rstrip('/')}/{name}.parque[t]"
+
+
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Documents read as a stream, indexed batch by batch; df of each term from the postings written."""
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     still = table(spark, d, "documents")
-    stream = spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 64).parquet(f"{d.rstrip('/')}/documents.parquet")
+    stream = spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 64).parquet(_glob(d, "documents"))
     ingest.index_stream(index.unique_corpus(stream), f"{folder}/postings", f"{folder}/checkpoint", LANGUAGE).awaitTermination()
     return ingest.latest_postings(spark, f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df"))
 
@@ -366,7 +371,7 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Pages read as a stream, the first of each url within the watermark, counted by topic."""
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     still = table(spark, d, "crawled_pages")
-    stream = spark.readStream.schema(still.schema).parquet(f"{d.rstrip('/')}/crawled_pages.parquet")
+    stream = spark.readStream.schema(still.schema).parquet(_glob(d, "crawled_pages"))
     fresh = ingest.first_seen(stream.where("url is not null"), "url", "ingested_at", "3650 days").select("url")
     fresh.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("url string").parquet(f"{folder}/out")

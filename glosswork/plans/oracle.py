@@ -93,9 +93,9 @@ def _marked(text: str) -> str:
 _LONGEST = sorted(MARKS, key=len, reverse=True)
 _AT = "case " + " ".join(f"when instr(lower(body), '{t}') > 0 then instr(lower(body), '{t}') - 1" for t in _LONGEST) + " end"
 _SIZE = "case " + " ".join(f"when instr(lower(body), '{t}') > 0 then {len(t)}" for t in _LONGEST) + " end"
-_CUT = f"""cut as (select doc_id, body, case when at is null then left(body, 220) || case when length(body) > 220 then '...' else '' end
-else case when at > 80 then '...' else '' end || substr(body, greatest(0, at - 80) + 1, least(length(body), at + size + 120) - greatest(0, at - 80)) || case when at + size + 120 < length(body) then '...' else '' end end as piece
-from (select *, {_AT} as at, {_SIZE} as size from (select doc_id, {_strip('text')} as body from documents)))"""
+_CUT = f"""cut as (select doc_id, body, case when place_ is null then left(body, 220) || case when length(body) > 220 then '...' else '' end
+else case when place_ > 80 then '...' else '' end || substr(body, greatest(0, place_ - 80) + 1, least(length(body), place_ + size + 120) - greatest(0, place_ - 80)) || case when place_ + size + 120 < length(body) then '...' else '' end end as piece
+from (select *, {_AT} as place_, {_SIZE} as size from (select doc_id, {_strip('text')} as body from documents)))"""
 _SNIPPET = f"case when coalesce(length(body), 0) = 0 then '[no text available for this document]' else {_marked('piece')} end as snippet"
 
 
@@ -178,7 +178,7 @@ union all select 'b4', count(*) from ({_has('technologie')} union ({_ALL} except
     "ranked_snippets": f"{_with()}, {_ONE}, {_BM25}, best as ({_top(3)}), {_CUT} select rank, doc_id::varchar as doc_id, snippet from (select b.rank, b.doc_id, {_SNIPPET} from best b join cut c on b.doc_id = c.doc_id::varchar)",
     "metadata_enrich": f"with {_PAGE_META} select key, title, url from pages_last",
     "metadata_merge": f"with {_PAGE_META}, own as (select doc_id::varchar as key, coalesce({_or_null(_strip('title'))}, 'Unknown') as title, null::varchar as url from documents) select * from own union all select * from pages_last where key not in (select key from own)",
-    "results_display": f"{_with()}, {_queries()}, {_BM25}, best as ({_top(10)}) select qid, rank, left(coalesce(title, 'Unknown'), 30) as title, b.doc_id, format('{{:.4f}}', score) as score from best b left join documents d on b.doc_id = d.doc_id::varchar",
+    "results_display": f"{_with()}, {_queries()}, {_BM25}, best as ({_top(10)}) select qid, rank, left(coalesce(title, 'Unknown'), 30) as title, b.doc_id, round(score::decimal(18, 6), 4)::varchar as score from best b left join documents d on b.doc_id = d.doc_id::varchar",
     "get_document": "select doc_id, coalesce(text, '') as text from documents where doc_id = 1",
     "eval_metrics": f"{_METRICS} select * from per",
     "eval_means": f"{_METRICS} select count(*) as queries, round(avg(ap), 6) as map, round(avg(p_at_k), 6) as p_at_k, round(avg(ndcg), 6) as ndcg, round(avg(rr), 6) as mrr from per",
