@@ -30,6 +30,15 @@ def raw_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def content_tokens(text: Column) -> Column:
+    """Words, numbers and dates of ``text`` in order, as written; empty for null.
+
+    All classes are matched in their order, but only these are captured, so no token is matched twice.
+    """
+    found = F.regexp_extract_all(text, F.lit(f"{URL}|({DATE}|{NUMBER}|{WORD})|{TAG}|{PUNCT}"), F.lit(1))
+    return F.coalesce(F.filter(found, lambda t: t != ""), F.array().cast("array<string>"))
+
+
 def token_type(token: Column) -> Column:
     """URL, DATE, NUMBER, WORD, TAG or PUNCT, told from the token alone."""
     return (
@@ -71,8 +80,8 @@ def terms(text: Column, language: str = "cs", stem: bool = False) -> Column:
     """
     code = language_code(language)
     stop = STOPWORDS[code]
-    kept = F.filter(raw_tokens(text), is_content)
-    bare = F.transform(kept, lambda t: strip_accents(F.lower(t)))
+    folded = lambda t: F.when(t.rlike(r"[^\x00-\x7f]"), strip_accents(F.lower(t))).otherwise(F.lower(t))
+    bare = F.transform(content_tokens(text), folded)
     out = F.filter(bare, lambda t: (F.length(t) >= 2) & ~t.isin(stop))
     return F.transform(out, stem_czech) if stem and code == "cs" else out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.analyze import terms as analyse
 from glosswork.functions.text import is_blank
+from glosswork.session import cut
 
 FORMAT = "parquet-1"
 
@@ -85,10 +86,11 @@ def build(documents: DataFrame, language: str = "cs", stem: bool = False, drop_e
     """The index of (doc_id, text).
 
     n counts every document of ``documents``, those without any term included (they have dl 0); with
-    ``drop_empty`` only documents with a term. ``postings`` may be given where they are
+    ``drop_empty`` only documents with a term. The texts are analysed once: the postings go to the checkpoint folder, and all
+    other tables are made from them. ``postings`` may be given where they are
     stored already, e.g. to rebuild the derived tables.
     """
-    made = postings_of(documents, language, stem) if postings is None else postings
+    made = cut(postings_of(documents, language, stem)) if postings is None else postings
     held = made.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     if drop_empty:
         lengths = held

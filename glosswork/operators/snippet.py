@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 NO_TEXT = "[no text available for this document]"
 BEFORE, AFTER, HEAD = 80, 120, 220
+# White space by Unicode.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def longest_first(terms: list[str]) -> list[str]:
@@ -37,13 +39,14 @@ def snippet(text: Column, terms: list[str]) -> Column:
 
     Without an occurrence the head of the text; a fixed notice where there is no text.
     """
-    body = F.regexp_replace(text, r"^(?U)\s+|(?U)\s+$", "")
+    body = F.btrim(text, F.lit(BLANKS))
     lowered = F.lower(body)
-    at, size = None, None
+    hit = None
     for term in longest_first(terms):
-        found = F.instr(lowered, term.lower())
-        at = F.when(found > 0, found - 1) if at is None else at.when(found > 0, found - 1)
-        size = F.when(found > 0, len(term)) if size is None else size.when(found > 0, len(term))
+        place = F.struct(F.nullif(F.instr(lowered, term.lower()), F.lit(0)).alias("at"), F.lit(len(term)).alias("size"))
+        hit = F.array(place) if hit is None else F.array_append(hit, place)
+    first = F.get(F.filter(hit, lambda x: x["at"].isNotNull()), F.lit(0)) if hit is not None else None
+    at, size = (first["at"] - 1, first["size"]) if hit is not None else (None, None)
     length = F.length(body)
     head = F.concat(F.substring(body, 1, HEAD), F.when(length > HEAD, "...").otherwise(""))
     if at is None:

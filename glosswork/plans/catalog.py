@@ -13,7 +13,7 @@ from glosswork.functions import html as H
 from glosswork.functions.text import has_text
 from glosswork.operators import boolean, evaluate, index, rank, snippet
 from glosswork.sources import crawl, records
-from glosswork.session import checkpoint_folder, table
+from glosswork.session import checkpoint_folder, table, text_table
 from glosswork.streaming import ingest
 
 LANGUAGE = "sk"
@@ -32,7 +32,7 @@ START, FORBIDDEN = "https://", ["/sport/", "/recepty/"]
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return index.unique_corpus(table(spark, d, "documents"))
+    return index.unique_corpus(text_table(spark, d, "documents", "doc_id"))
 
 
 def _index(spark: SparkSession, d: str) -> index.Index:
@@ -48,7 +48,7 @@ def _one(spark: SparkSession, query: str = SEARCH) -> DataFrame:
 
 
 def tokenize_typed(spark: SparkSession, d: str) -> DataFrame:
-    return A.typed_tokens(table(spark, d, "documents"), "doc_id", "text")
+    return A.typed_tokens(text_table(spark, d, "documents", "doc_id"), "doc_id", "text")
 
 
 def simple_tokenize(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def whitespace_tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_type_filter(spark: SparkSession, d: str) -> DataFrame:
-    kept = F.filter(A.raw_tokens(F.col("text")), A.is_content)
+    kept = A.content_tokens(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.explode(kept).alias("token")).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("token").alias("forms"))
 
 
@@ -103,7 +103,7 @@ def lemma_lookup(spark: SparkSession, d: str) -> DataFrame:
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
     """Preprocessed records, as the JSON-lines writer takes them."""
     terms = A.terms(F.col("article_text"), LANGUAGE)
-    pages = table(spark, d, "crawled_pages").where(has_text(F.col("article_text")))
+    pages = text_table(spark, d, "crawled_pages", "page_id").where(has_text(F.col("article_text")))
     return pages.select(F.col("page_id").cast("string").alias("doc_id"), "url", terms.alias("tokens")).select("doc_id", "url", F.array_join("tokens", " ").alias("normalized_text"))
 
 
@@ -206,7 +206,7 @@ def highlight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kwic(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", snippet.snippet(F.col("text"), MARKS).alias("snippet"))
+    return text_table(spark, d, "documents", "doc_id").select("doc_id", snippet.snippet(F.col("text"), MARKS).alias("snippet"))
 
 
 def ranked_snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +311,7 @@ def _html(spark: SparkSession, d: str) -> DataFrame:
         text,
         F.lit("</body></html>"),
     )
-    return table(spark, d, "crawled_pages").select("page_id", "url", html.alias("html"))
+    return text_table(spark, d, "crawled_pages", "page_id").select("page_id", "url", html.alias("html"))
 
 
 def html_title(spark: SparkSession, d: str) -> DataFrame:

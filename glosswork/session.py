@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """``table`` for work that is heavy per row: one of fewer splits than the cluster has cores is dealt out by ``key``.
+
+    A large table has splits enough and is left as it is, so nothing is shuffled.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
