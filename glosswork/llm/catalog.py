@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm import distinctive, formatting, frequency, mainbody, neardup, packing, reading, residue, sitelines, tokens
-from glosswork.session import table
+from glosswork.session import table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,15 +26,15 @@ def p1_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_pairs(table(spark, d, "crawled_pages"))
+    return neardup.near_pairs(text_table(spark, d, "crawled_pages", "page_id"))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(table(spark, d, "crawled_pages"))
+    return neardup.groups(text_table(spark, d, "crawled_pages", "page_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_pages(table(spark, d, "crawled_pages"))
+    return residue.residue_pages(text_table(spark, d, "crawled_pages", "page_id"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,13 +59,13 @@ def p5_distinctive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "crawled_pages")
+    pages = text_table(spark, d, "crawled_pages", "page_id")
     found = mainbody.lines_around(pages, mainbody.fit(pages))
     return found.join(residue.residue_pages(pages), "page_id", "left_anti").select("page_id", "line_no")
 
 
 def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "crawled_pages")
+    pages = text_table(spark, d, "crawled_pages", "page_id")
     return mainbody.bodies(pages, mainbody.fit(pages))
 
 
@@ -84,20 +84,20 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(text_table(spark, d, "documents", "doc_id"))
 
 
 def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.lengths(table(spark, d, "documents"))
+    return tokens.lengths(text_table(spark, d, "documents", "doc_id"))
 
 
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every document decoded from its ids again."""
-    return tokens.decode(tokens.encode(table(spark, d, "documents")))
+    return tokens.decode(tokens.encode(text_table(spark, d, "documents", "doc_id")))
 
 
 def p9_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(tokens.lengths(table(spark, d, "documents")), table(spark, d, "container_sizes"))
+    return packing.pack(tokens.lengths(text_table(spark, d, "documents", "doc_id")), table(spark, d, "container_sizes"))
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -105,13 +105,13 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents", "doc_id")
     return reading.reading_levels(docs, reading.fit(docs, table(spark, d, "reading_labels"))).select("doc_id", "level")
 
 
 def p10_words(spark: SparkSession, d: str) -> DataFrame:
     """Difficulty of every word in enough labelled documents."""
-    sample = reading.labelled(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    sample = reading.labelled(text_table(spark, d, "documents", "doc_id"), table(spark, d, "reading_labels"))
     return reading.difficulties(sample).select("word", "docs", F.round("difficulty", 6).alias("difficulty"))
 
 
