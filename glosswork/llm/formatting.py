@@ -54,6 +54,7 @@ def copies(pages: DataFrame) -> DataFrame:
     """
     kept = _survivors(pages)
     groups = kept.groupBy("canonical_key").agg(F.min("first_id").alias("page_id_a"), F.sum("copies").alias("n")).where("n > 1").drop("n")
-    by_raw = kept.select("raw_key", "canonical_key").join(groups, "canonical_key").select("raw_key", "page_id_a")
+    wanted = kept.where("copies > 0 and first_id is not null")  # asks for the same columns as ``groups``, so that both read one shuffle of the texts
+    by_raw = wanted.select("raw_key", "canonical_key").join(groups, "canonical_key").select("raw_key", "page_id_a")
     members = _eligible(pages).select(F.col("page_id").alias("page_id_b"), _raw_key(F.col("url"), F.col("article_text")).alias("raw_key"))
     return members.join(by_raw, "raw_key").where("page_id_b <> page_id_a").select("page_id_a", "page_id_b")
