@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import alnum, has_text, is_blank
+from glosswork.session import cut
 
 
 def canonical_url(url: Column) -> Column:
@@ -49,12 +50,11 @@ def records(pages: DataFrame) -> DataFrame:
 def copies(pages: DataFrame) -> DataFrame:
     """(page_id_a, page_id_b): the smallest page_id of each record and every other member of it.
 
-    Members find their record by the raw key; the pages are the large side of that
+    The survivors (ids and keys, no texts) go to the checkpoint folder, as they are read twice. Members find their record by the raw key; the pages are the large side of that
     join, which adaptive execution splits where one key is hot.
     """
-    kept = _survivors(pages)
+    kept = cut(_survivors(pages))
     groups = kept.groupBy("canonical_key").agg(F.min("first_id").alias("page_id_a"), F.sum("copies").alias("n")).where("n > 1").drop("n")
-    wanted = kept.where("copies > 0 and first_id is not null")  # asks for the same columns as ``groups``, so that both read one shuffle of the texts
-    by_raw = wanted.select("raw_key", "canonical_key").join(groups, "canonical_key").select("raw_key", "page_id_a")
+    by_raw = kept.select("raw_key", "canonical_key").join(groups, "canonical_key").select("raw_key", "page_id_a")
     members = _eligible(pages).select(F.col("page_id").alias("page_id_b"), _raw_key(F.col("url"), F.col("article_text")).alias("raw_key"))
     return members.join(by_raw, "raw_key").where("page_id_b <> page_id_a").select("page_id_a", "page_id_b")
