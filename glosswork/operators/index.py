@@ -125,9 +125,10 @@ def fingerprint(documents: DataFrame) -> DataFrame:
 
 
 def dedupe_last(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the greatest ``order`` of each ``key``; of equal ones any, null keys are one key.
+    """The row with the greatest ``order`` of each ``key``; of equal ones any. A null order comes below all others;
+    null keys are one key.
 
     A maximum over whole rows, aggregated before the shuffle, so a hot key costs no more than others.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
-    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.col(order)).alias("_row")).select("_row.*")
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(order)).alias("_row")).select("_row.*")

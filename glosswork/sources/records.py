@@ -162,7 +162,7 @@ def looks_like_collection(path: str, lines: int = 30) -> bool:
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(qid, text): one query per line that is not blank, named q and the number of the line."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     return rows.where(~is_blank(F.col("line"))).select(F.concat(F.lit("q"), (F.col("n") + 1).cast("string")).alias("qid"), F.trim("line").alias("text"))
 
