@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.llm.sample import least_hashes
 from glosswork.session import cut
 
 #: Bound on the labelled documents that the model is fitted on, and on the words that it holds.
@@ -40,7 +41,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) ->
     least hash of doc_id are kept; this bounds what the model is fitted on, and nothing else.
     """
     valid = labels.where("level between 1 and 3 and doc_id is not null").groupBy("doc_id").agg(F.avg("level").alias("level"))
-    chosen = valid.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = least_hashes(valid, "doc_id", most, labels.count())
     texts = docs.select("doc_id", "text").where("text is not null")
     return texts.join(F.broadcast(chosen), "doc_id")
 
