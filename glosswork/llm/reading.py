@@ -123,14 +123,16 @@ def scores(docs: DataFrame, words: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def cuts(score: np.ndarray, level: np.ndarray) -> tuple[float, float]:
-    """The two cuts that agree best with the labels; in a tie the middle of the range."""
+    """The two cuts between neighbouring scores that agree best with the labels; in a tie the middle one."""
     if not len(score):
         return -0.3, 0.3
-    grid = np.linspace(-1, 1, 81)
+    order = np.argsort(score, kind="stable")
+    score, level = score[order], level[order]
+    between = np.concatenate(([score[0] - 0.01], (score[1:] + score[:-1]) / 2, [score[-1] + 0.01]))
 
     def best(less: np.ndarray) -> float:
-        right = np.array([((score < c) == less).sum() for c in grid])
-        return float(np.median(grid[right == right.max()]))
+        right = np.concatenate(([0], np.cumsum(less))) + np.concatenate((np.cumsum(~less[::-1])[::-1], [0]))
+        return float(np.median(between[right == right.max()]))
 
     low, high = best(level < 1.5), best(level < 2.5)
     return low, max(low, high)
