@@ -43,4 +43,4 @@ def latest_postings(spark: SparkSession, postings_path: str) -> DataFrame:
     """The postings of the last batch of each document."""
     rows = spark.read.parquet(postings_path)
     last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
+    return rows.join(last, ["doc_id", "batch"], "left_semi").select("term", "doc_id", "tf")
