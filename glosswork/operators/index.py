@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosswork.functions.analyze import lemmatise
 from glosswork.functions.analyze import terms as analyse
 from glosswork.functions.text import is_blank
 from glosswork.session import cut
@@ -72,9 +73,17 @@ def is_current(spark: SparkSession, path: str, documents: DataFrame) -> bool:
     return stored.get("format") == FORMAT and stored.get("documents") == str(row["documents"]) and stored.get("fingerprint") == row["fingerprint"]
 
 
-def postings_of(documents: DataFrame, language: str = "cs", stem: bool = False) -> DataFrame:
-    """(term, doc_id, tf): how often each term occurs in each document."""
-    return documents.select("doc_id", F.explode(analyse(F.col("text"), language, stem)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "doc_id", "tf")
+def postings_of(documents: DataFrame, language: str = "cs", stem: bool = False, lemmas: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf): how often each term occurs in each document.
+
+    With ``lemmas`` (form, lemma), words are replaced by their lemma after they are counted, so
+    the dictionary meets each form of a document once; numbers and dates keep their form.
+    """
+    counted = documents.select("doc_id", F.explode(analyse(F.col("text"), language, stem)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    if lemmas is not None:
+        words = lemmas.where(~F.col("form").rlike(r"^\p{Nd}"))
+        counted = lemmatise(counted, words).groupBy("doc_id", F.col("lemma").alias("term")).agg(F.sum("tf").cast("int").alias("tf"))
+    return counted.select("term", "doc_id", "tf")
 
 
 def term_table(postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def term_table(postings: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log10(F.col("n") / F.col("df")).alias("idf"))
 
 
-def build(documents: DataFrame, language: str = "cs", stem: bool = False, drop_empty: bool = False, postings: DataFrame | None = None) -> Index:
+def build(documents: DataFrame, language: str = "cs", stem: bool = False, drop_empty: bool = False, postings: DataFrame | None = None, lemmas: DataFrame | None = None) -> Index:
     """The index of (doc_id, text).
 
     n counts every document of ``documents``, those without any term included (they have dl 0); with
@@ -90,7 +99,7 @@ def build(documents: DataFrame, language: str = "cs", stem: bool = False, drop_e
     other tables are made from them. ``postings`` may be given where they are
     stored already, e.g. to rebuild the derived tables.
     """
-    made = cut(postings_of(documents, language, stem)) if postings is None else postings
+    made = cut(postings_of(documents, language, stem, lemmas)) if postings is None else postings
     held = made.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     if drop_empty:
         lengths = held

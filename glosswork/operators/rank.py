@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswork.functions.analyze import terms as analyse
 from glosswork.functions.text import is_blank
-from glosswork.operators.index import Index, weight_tf
+from glosswork.operators.index import Index, postings_of, weight_tf
 
 K1, B = 1.5, 0.75
 #: Rows of query terms up to which they are broadcast to the postings; more are joined by term.
 BROADCAST_TERMS = 200_000
 
 
-def query_terms(queries: DataFrame, language: str = "cs", stem: bool = False, key: str = "qid", text: str = "text") -> DataFrame:
-    """(qid, term, q_tf) of each query with text; repeated rows of a qid add up."""
+def query_terms(queries: DataFrame, language: str = "cs", stem: bool = False, key: str = "qid", text: str = "text", lemmas: DataFrame | None = None) -> DataFrame:
+    """(qid, term, q_tf) of each query with text; repeated rows of a qid add up. Terms as in ``index.postings_of``."""
     kept = queries.select(F.col(key).cast("string").alias("qid"), F.col(text).alias("text")).where(~is_blank(F.col("text")))
-    return kept.select("qid", F.explode(analyse(F.col("text"), language, stem)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("q_tf"))
+    asked = kept.select(F.col("qid").alias("doc_id"), "text")
+    return postings_of(asked, language, stem, lemmas).select(F.col("doc_id").alias("qid"), "term", F.col("tf").cast("bigint").alias("q_tf"))
 
 
 def small(rows: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
