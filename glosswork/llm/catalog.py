@@ -50,7 +50,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.term_scores(table(spark, d, "preprocessed_docs")).select("doc_id", "term", "tf", "df", "cf", F.round("llr", 4).alias("llr"), F.round("weight", 6).alias("weight"))
+    return distinctive.term_scores(table(spark, d, "preprocessed_docs")).select("doc_id", "term", "tf", "df", "cf", (F.round("llr", 4) + F.lit(0.0)).alias("llr"), F.round("weight", 6).alias("weight"))
 
 
 def p5_distinctive(spark: SparkSession, d: str) -> DataFrame:

@@ -12,8 +12,8 @@ from glosswork.llm.latest import latest
 HOT_TERMS = 20_000
 
 
-def _entropy(k: Column) -> Column:
-    return F.when(k > 0, k * F.log(k)).otherwise(F.lit(0.0))
+def _term(seen: Column, expected: Column) -> Column:
+    return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
 
 def likelihood_ratio(tf: Column, length: Column, cf: Column, total: Column) -> Column:
@@ -24,9 +24,8 @@ def likelihood_ratio(tf: Column, length: Column, cf: Column, total: Column) -> C
     """
     a, b = tf.cast("double"), (cf - tf).cast("double")
     c, d = (length - tf).cast("double"), (total - length - cf + tf).cast("double")
-    rows = _entropy(a + b) + _entropy(c + d)
-    columns = _entropy(a + c) + _entropy(b + d)
-    g = 2 * (_entropy(a) + _entropy(b) + _entropy(c) + _entropy(d) - rows - columns + _entropy(a + b + c + d))
+    n = a + b + c + d
+    g = 2 * (_term(a, (a + b) * (a + c) / n) + _term(b, (a + b) * (b + d) / n) + _term(c, (c + d) * (a + c) / n) + _term(d, (c + d) * (b + d) / n))
     return F.when(a * (b + d) < b * (a + c), -F.greatest(g, F.lit(0.0))).otherwise(F.greatest(g, F.lit(0.0)))
 
 

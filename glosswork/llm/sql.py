@@ -1,5 +1,7 @@
 """SQL for DuckDB that says the same as the queries, where SQL can."""
 
+from glosswork.functions.analyze import SPACES
+
 _LATEST = "select pipeline, doc_id, arg_max({0}, row_id) as {0} from (select pipeline, doc_id, row_id, {0}, row_number() over (partition by pipeline, doc_id order by row_id desc) as place from preprocessed_docs) where place = 1 group by 1, 2"
 _KEPT = "select pipeline, doc_id, {0} from (select *, row_number() over (partition by pipeline, doc_id order by row_id desc) as place from preprocessed_docs) where place = 1"
 
@@ -11,7 +13,7 @@ totals as (select pipeline, count(distinct doc_id) as total from each where term
 """
 _MARK = "case when records = 1 then 'rare' when records > total * 0.2 then 'common' end"
 
-_TEXT = "article_text is not null and regexp_matches(article_text, '[^\\s]') and trim(article_text) <> 'No Article Text Found'"
+_TEXT = f"article_text is not null and regexp_matches(article_text, '[^{SPACES}]') and trim(article_text) <> 'No Article Text Found'"
 _CANON = r"""
 with kept as (
   select page_id, article_text, split_part(url, '?', 1) as base,
@@ -52,4 +54,20 @@ keyed as (select page_id, site, line_no, lower(regexp_replace(line, '[^\p{L}]+',
 often as (select site, own from keyed where own <> '' group by 1, 2 having count(distinct page_id) >= 8)
 select page_id, line_no::int as line_no from keyed semi join often using (site, own)""",
     "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
+    "p2_found": r"""
+with w as materialized (select page_id, regexp_extract_all(lower(article_text), '[\p{L}\p{N}]+') as w from crawled_pages where """ + _TEXT + r"""),
+s as materialized (select page_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) as x from w where len(w) >= 60),
+n as materialized (select page_id, count(*) as n from s group by 1),
+overlap as (select a.page_id as page_id_a, b.page_id as page_id_b, count(*) as k from s a join s b on a.x = b.x and a.page_id < b.page_id group by 1, 2)
+select page_id_a, page_id_b from overlap join n a on a.page_id = page_id_a join n b on b.page_id = page_id_b where 2 * k >= a.n + b.n - k""",
+    "p4_records": _CANON
+    + "select min(page_id) as page_id, count(*) as copies, count(distinct raw) as spellings from (select page_id, u, t, url || chr(0) || article_text as raw from canon join crawled_pages using (page_id)) group by u, t",
+    "p5_scores": _SCORES + "select doc_id, term, tf, df, cf, round(case when a * (b + d) < b * (a + c) then -g else g end, 4) + 0.0 as llr, round(weight, 6) as weight from x",
 }
+
+_LINES = SQL["p7_found"].rpartition("often as")[0]
+_PAIRS = """lettered as (select *, lead(own) over (partition by page_id order by line_no) as own2, lead(line_no) over (partition by page_id order by line_no) as line2 from keyed where own <> ''),
+often as (select site, own, own2 from lettered where own2 is not null group by 1, 2, 3 having count(distinct page_id) >= 8), blocks as (select page_id, line_no, line2 from lettered semi join often using (site, own, own2))"""
+SQL["p7_blocks"] = _LINES + _PAIRS + " select page_id, line_no::int as line_no from blocks union select page_id, line2::int from blocks"
+SQL["p7_clean"] = f"""with found as ({SQL["p7_found"]}), gone as (select page_id, list(distinct line_no) as g from found group by 1)
+select page_id, case when g is null then article_text else array_to_string([x for x, i in string_split(article_text, chr(10)) if not list_contains(g, i)], chr(10)) end as article_text, coalesce(len(g), 0)::int as removed from crawled_pages left join gone using (page_id)"""
