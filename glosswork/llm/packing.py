@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.session import cut
+
 #: Bins that are open at once in a task.
 OPEN_BINS = 64
 #: Items that one stream of a container type takes on average; streams run side by side.
@@ -89,7 +91,8 @@ def pack(sizes: DataFrame, containers: DataFrame, open_bins: int = OPEN_BINS, st
     about ``stream_items``, whose number follows the number of items, so the unused space
     of the bins left open at a stream's end stays a fixed small share at every scale. A
     stream takes its items in ascending order of (hash, doc_id), which makes the result
-    the same on every run. Only (doc_id, tokens) moves.
+    the same on every run. Only (doc_id, tokens) moves; it is kept in
+    the checkpoint folder first, so that texts are measured once.
 
     An item larger than the capacity is split into full containers' worth and a remainder, numbered
     by part; any other item has the single part 0. Items of size 0 or null take size 0 in
@@ -97,6 +100,7 @@ def pack(sizes: DataFrame, containers: DataFrame, open_bins: int = OPEN_BINS, st
     types count once. Rows that repeat a doc_id are packed each. Containers are numbered apart for every
     (container_type, capacity).
     """
+    sizes = cut(sizes.select("doc_id", "tokens"))
     kinds = containers.select("container_type", F.col("capacity").cast("int").alias("capacity")).where("capacity > 0").distinct()
     streams = sizes.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(stream_items))).cast("bigint").alias("streams"))
     items = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.xxhash64("doc_id").alias("h"))
