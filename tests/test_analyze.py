@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import analyze as A
 from glosswork.resources import STOPWORDS, accent_map, language_code
 
+# The classes of tokens, as Python writes them.
 _PYTHON = re.compile(
     r"(?P<URL>https?://[^\s<>\"]+|www\.[^\s<>\"]+)|(?P<DATE>\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b)|(?P<NUMBER>\d+(?:[.,]\d+)*)|(?P<WORD>\w+)|(?P<TAG><[^>]+>)|(?P<PUNCT>[^\w\s]+)"
 )
