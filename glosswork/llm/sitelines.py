@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.functions.text import has_text, is_blank, site_of
+from glosswork.functions.text import has_text, site_of
 
 #: What the scan says of a row: part of a block, not known before the neighbouring task is seen, or a block that is one for certain.
 FOUND, OPEN, SURE = 2, 1, 3
