@@ -70,9 +70,10 @@ class _Hasher:
         least = np.full(len(self.factor), 2**32 - 1, np.uint32)
         for at in range(0, len(x), 1024):
             part = x[None, at : at + 1024] * self.factor + self.offset
+            part ^= part >> np.uint32(15)
+            part *= np.uint32(0x2C1B3C6D)
             np.minimum(least, part.min(axis=1), out=least)
-        least ^= least >> np.uint32(15)  # spreads the value over all bits, as only some of them are kept
-        return least * np.uint32(0x2C1B3C6D)
+        return least
 
 
 @lru_cache(maxsize=1)
