@@ -20,8 +20,10 @@ from glosswork.session import cut
 TREES, DEPTH = 32, 6
 #: Words of a shingle for the signatures; edits are local, so longer runs keep related pages close and part unrelated ones.
 SIGNATURE_WORDS = 5
-#: Size beyond which a region of a tree is divided by one more hash.
+#: Size beyond which a region of a tree is divided by one more hash, and compared across these parts in blocks of rows.
 REGION = 512
+#: Rows of such a block; two blocks make one task.
+BLOCK = 1024
 #: Bytes of the sketch that travels with each row, and those that must agree before two texts are compared.
 SKETCH, AGREE = 16, 2
 
@@ -164,8 +166,22 @@ def _close(name: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
+def _across(name: np.ndarray, sketch: np.ndarray, other: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_close``, each row of one block with each of another."""
+    left, right = [name[:0]], [other[:0]]
+    step = max(1, 2_000_000 // max(1, len(other) * SKETCH))
+    for at in range(0, len(name), step):
+        i, j = np.nonzero((sketch[at : at + step, None, :] == others[None, :, :]).sum(axis=2) >= AGREE)
+        left.append(name[i + at])
+        right.append(other[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _regions(first: np.ndarray, rest: np.ndarray, name: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of sorted rows: regions with a common prefix of two hashes, divided further while they are large."""
+    """Candidates of sorted rows: regions with a common prefix of two hashes, divided further while they are large.
+
+    Pairs across the parts of a divided region, and those of parts that stay large, are left to ``_block_pairs``.
+    """
     bounds = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True])))
     sizes = np.diff(bounds)
     for k in np.flatnonzero(sizes > 1):
@@ -174,17 +190,34 @@ def _regions(first: np.ndarray, rest: np.ndarray, name: np.ndarray, sketch: np.n
             a, b, depth = open_.pop()
             if b - a < 2:
                 continue
-            if b - a <= REGION or depth == DEPTH:
+            if b - a <= REGION:
                 yield _close(name[a:b], sketch[a:b])
+            if b - a <= REGION or depth == DEPTH:
                 continue
             prefix = rest[a:b].view(np.uint64) >> np.uint64(16 * (DEPTH - depth - 1))
             cuts = a + np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1], [True])))
             open_.extend((cuts[i], cuts[i + 1], depth + 1) for i in range(len(cuts) - 1))
 
 
+_FOUND = "a bigint, b bigint, tree tinyint, first bigint, s1 bigint, s2 bigint"
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(len(a), k) for k in (pa.int8(), pa.int64(), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=["a", "b", "tree", "first", "s1", "s2"])
+
+
+def _row_batch(tree: np.ndarray, first: np.ndarray, name: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(len(name), pa.int64()), *map(pa.array, (tree, first, s1, s2))], names=["a", "b", "tree", "first", "s1", "s2"])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scan of the sorted orders; the last region of a batch waits for the next, unless it is large."""
+    """Scan of the sorted orders: candidates within the regions, and the rows themselves (b null) of each large region.
+
+    The last region of a batch waits for the next; once it is large its rows are passed on as they come.
+    """
     held: list[np.ndarray] | None = None
+    hot: tuple[int, int] | None = None
 
     def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tree, first, rest, name, s1, s2 = parts
@@ -202,36 +235,67 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rights.append(b)
             if lefts:
                 a, b = np.concatenate(lefts), np.concatenate(rights)
-                ok = a != b
-                a, b = a[ok], b[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield _pair_batch(a[a != b], b[a != b])
+        ends = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (tree[1:] != tree[:-1]), [True])))
+        large = np.repeat(np.diff(ends) > REGION, np.diff(ends))
+        if large.any():
+            yield _row_batch(*(x[large] for x in (tree, first, name, s1, s2)))
 
     for batch in batches:
         parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "first", "rest", "class", "s1", "s2")]
-        if held is not None:
+        if hot is not None:
+            more = (parts[0] == hot[0]) & (parts[1] == hot[1])
+            if more.any():
+                yield _row_batch(*(parts[k][more] for k in (0, 1, 3, 4, 5)))
+            parts = [x[~more] for x in parts]
+        elif held is not None:
             parts = [np.concatenate([x, y]) for x, y in zip(held, parts, strict=True)]
-        size = len(parts[0])
-        if not size:
+        if not len(parts[0]):
             continue
-        columns = (0, 1) if size <= 50 * REGION else (0, 1, 2)  # a very large region is held by its full signature only
-        last = np.ones(size, bool)
-        for c in columns:
-            last &= parts[c] == parts[c][-1]
-        start = int(np.argmin(last[::-1]))
-        start = size - start if start or not last.all() else 0
+        hot = None
+        last = (parts[0] == parts[0][-1]) & (parts[1] == parts[1][-1])
+        start = int(np.argmax(last))
         yield from out([x[:start] for x in parts])
         held = [x[start:] for x in parts]
+        if len(np.unique(held[3])) > REGION:
+            yield _row_batch(*(held[k] for k in (0, 1, 3, 4, 5)))
+            hot, held = (int(held[0][0]), int(held[1][0])), None
     if held is not None:
         yield from out(held)
 
 
+def _compare(group: pa.Table) -> pa.Table:
+    """Candidates between two blocks of one large region, or within one."""
+    name, low = group.column("a").to_numpy(), group.column("low").to_numpy()
+    block, high = group.column("block").to_numpy(), group.column("high").to_numpy()
+    sketch = np.stack([group.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint8).reshape(len(name), SKETCH)
+    if low[0] == high[0]:
+        a, b = _close(name, sketch)
+    else:
+        on = block == low[0]
+        a, b = _across(name[on], sketch[on], name[~on], sketch[~on])
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): candidates of the large regions, every row against every other, each pair of blocks as a group of its own."""
+    regions = rows.groupBy("tree", "first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(regions, ["tree", "first"]).withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = met.select("tree", "first", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "a", "s1", "s2")
+    return pairs.groupBy("tree", "first", "low", "high").applyInArrow(_compare, "a bigint, b bigint")
+
+
 def candidates(pages: DataFrame, least_words: int = 60) -> DataFrame:
     """(a, b): pairs of classes that are neighbours in one of the sorted orders, each once."""
     kept = pages.select("article_text").where(has_text(F.col("article_text")))
     rows = kept.mapInArrow(_signatures(least_words), _ROW)
-    order = ["tree", "first", "rest"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "class")
-    return ordered.mapInArrow(_neighbours, "a bigint, b bigint").distinct()
+    ordered = rows.repartition("tree", "first").sortWithinPartitions("tree", "first", "rest", "class")
+    found = cut(ordered.mapInArrow(_neighbours, _FOUND).distinct())
+    pairs, large = found.where("b is not null").select("a", "b"), found.where("b is null").drop("b")
+    if large.isEmpty():
+        return pairs
+    return cut(pairs.union(_block_pairs(large)).distinct())
 
 
 def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -250,7 +314,7 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def similar_classes(pages: DataFrame, member: DataFrame, width: int = 3, threshold: float = 0.5, least_words: int = 60) -> DataFrame:
     """(a, b, similarity): classes whose sets of runs of ``width`` words overlap by ``threshold`` or more of their union."""
-    pairs = cut(candidates(pages, least_words))
+    pairs = candidates(pages, least_words)
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     first = member.join(needed, "class", "left_semi").groupBy("class").agg(F.min("page_id").alias("page_id"))
     texts = pages.select("page_id", "article_text").join(first, "page_id").select("class", "article_text")
@@ -268,7 +332,7 @@ def near_pairs(pages: DataFrame, width: int = 3, threshold: float = 0.5, least_w
     Pages whose words are the same in order are one class, which is signed once per task
     however many copies there are. The classes are sorted by ``TREES`` independent
     orders of min-hash signatures; those that share a prefix of at least two hashes with their
-    neighbours are candidates, and a dense region is divided by further hashes. A sketch of ``SKETCH``
+    neighbours are candidates; a dense region is compared in blocks of rows, each pair of blocks a group. A sketch of ``SKETCH``
     bytes sorts out chance neighbours before any text moves; what is left is
     measured exactly on the whole texts. Last, classes are opened to their members,
     as each pair of pages is asked for.

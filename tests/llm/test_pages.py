@@ -86,6 +86,26 @@ def test_dense_regions_are_divided(spark, monkeypatch):
     assert count() == 10 * 6
 
 
+@pytest.mark.parametrize("batch", ["700", "10000"])
+def test_pairs_across_the_parts_of_dense_regions(spark, batch):
+    rng = random.Random(5)
+    base = _text(rng, 200).split()
+    edited = [(k, "u", None, " ".join(base[: k % 200] + [f"z{k}"] + base[k % 200 + 1 :])) for k in range(800)]
+    apart = [(k, "u", None, " ".join(base[: 145 - k % 8] + _text(rng, 55).split())) for k in range(900, 920)]
+    rows = edited + apart
+    want = {p for p in _pairs(rows[:100] + apart, 5, 0.5) if p[0] < 900 <= p[1]}
+    name = {p: neardup._class(neardup._hasher().words(t)) for p, _, _, t in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        far = [name[p] for p, *_ in apart]
+        found = neardup.candidates(_pages(spark, rows))
+        got = [tuple(r) for r in found.where(found.a.isin(far) | found.b.isin(far)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    both = len({(min(name[a], name[b]), max(name[a], name[b])) for a, b in want} & set(got))
+    assert len(got) == len(set(got)) and len(want) > 500 and both >= 0.99 * len(want)
+
+
 def test_very_long_text():
     hasher = neardup._Hasher()
     words = hasher.words("a b c d e f g " * 50_000 + "end")
