@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import has_text
@@ -20,8 +20,8 @@ from glosswork.session import cut
 ARTICLE_WORDS, PROSE_LINE = 60, 12
 #: Blocks that fingerprints are cut into, two of which make a table; most bits and least share of words for an edge.
 BLOCKS, MOST_BITS, LEAST_SHARE = 8, 12, 0.8
-#: Neighbours that a fingerprint is compared with in each sorted table.
-NEIGHBOURS = 3
+#: Rows of a block that a bucket of a table is cut into; each pair of blocks is compared by itself.
+BLOCK = 512
 
 # Names of template fields, in the languages of the pages.
 _FIELDS = "title headline perex content body text name author date summary lead url link image user site category tag description subject message first_name last_name titulok titulek nadpis meno jmeno autor datum obsah clanok clanek popis nazov nazev".split()
@@ -156,18 +156,20 @@ def similar_lines(prints: DataFrame) -> DataFrame:
     """(a, b): nodes whose fingerprints differ in few bits and whose words mostly agree.
 
     Two fingerprints within six bits share some pair of blocks, hence a key of some table. In a
-    table each is compared with the next ones of its key in sorted order, so equal and close ones
-    form chains and no bucket is opened into all its pairs.
+    table all of one key are compared; those of a hot key are dealt out to salted blocks, and each pair of blocks is joined by itself.
     """
     tables = _tables(prints)
-    order = Window.partitionBy("table", "key").orderBy("print", "node")
-    ahead = F.array(*(F.lead(F.struct("node", "print", "words"), k).over(order) for k in range(1, NEIGHBOURS + 1)))
-    looked = tables.select("node", "print", "words", ahead.alias("ahead"))
-    pairs = looked.select("node", "print", "words", F.explode("ahead").alias("other")).where("other is not null")
-    common = F.size(F.array_intersect("words", "other.words"))
-    share = common / (F.size(F.array_union("words", "other.words")))
-    near = (F.bit_count(F.col("print").bitwiseXOR(F.col("other.print"))) <= MOST_BITS) & (share >= LEAST_SHARE)
-    return pairs.where(near).select(F.col("node").alias("a"), F.col("other.node").alias("b")).distinct()
+    sizes = tables.groupBy("table", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = tables.join(sizes, ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = ["table", "key", "low", "high"]
+    placed = met.select("table", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "print", "words")
+    left = placed.where("block = low").select(*at, F.col("node").alias("a"), F.col("print").alias("p"), F.col("words").alias("x"))
+    right = placed.where("block = high").select(*at, F.col("node").alias("b"), F.col("print").alias("q"), F.col("words").alias("y"))
+    pairs = left.join(right, at).where("a < b or (low < high and a <> b)")
+    share = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    near = (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= MOST_BITS) & (share >= LEAST_SHARE)
+    return pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:

@@ -222,6 +222,16 @@ def test_simhash_is_close_for_close_lines():
     assert residue.simhash([]) == 0 and residue.mask("/a/b 404") == []
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_all_lines_of_a_bucket_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(residue, "BLOCK", block, raising=False)
+    rows = [(1000, 5, ["same"] * 3), (1, 5 - 2**63, ["same"])] + [(k, 5 + (k << 40), [f"other{k}"]) for k in range(2, 32)]
+    rows += [(2000, 9, ["x", "y"])] + [(k, 9 - 2**63 * (k % 2), ["x", "y"]) for k in range(2001, 2012)]
+    got = [tuple(r) for r in residue.similar_lines(spark.createDataFrame(rows, "node bigint, print bigint, words array<string>")).collect()]
+    want = {(1, 1000)} | {(a, b) for a in range(2000, 2012) for b in range(a + 1, 2012)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def _site_page(rng, k):
     """A page with known labels: 1 around the article."""
     lines = [("Domov | Šport | Kultúra | Video", 1), ("Táto stránka používa súbory cookies. Súhlasím", 1)]
