@@ -18,8 +18,8 @@ from glosswork.session import cut
 
 #: Words on lines of prose from which a page is a full article.
 ARTICLE_WORDS, PROSE_LINE = 60, 12
-#: Blocks that fingerprints are cut into, two of which make a table; most bits and least share of words for an edge.
-BLOCKS, MOST_BITS, LEAST_SHARE = 8, 12, 0.8
+#: Blocks that fingerprints are cut into, two of which make a table; least share of words for an edge.
+BLOCKS, LEAST_SHARE = 8, 0.8
 #: Rows of a block that a bucket of a table is cut into; each pair of blocks is compared by itself.
 BLOCK = 512
 
@@ -145,31 +145,45 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tables(prints: DataFrame) -> DataFrame:
-    """Each fingerprint once per pair of its blocks: (table, key, node, print, words)."""
+    """Each fingerprint once per pair of its blocks: (table, key, node, words)."""
     width = 64 // BLOCKS
     block = lambda k: F.shiftrightunsigned("print", k * width).bitwiseAND(F.lit(2**width - 1))
     keys = F.array(*(F.struct(F.lit(n).alias("table"), (block(a) * F.lit(2**width) + block(b)).alias("key")) for n, (a, b) in enumerate(combinations(range(BLOCKS), 2))))
-    return prints.select("node", "print", "words", F.explode(keys).alias("at")).select("at.table", "at.key", "node", "print", "words")
+    return prints.select("node", "words", F.explode(keys).alias("at")).select("at.table", "at.key", "node", "words")
+
+
+def _rare_words(prints: DataFrame) -> DataFrame:
+    """Each node once per rare word, as a table of its own: (table, key, node, words).
+
+    Of n distinct words, ordered from rare to common over all nodes, the first n - ceil(n * LEAST_SHARE) + 1 are
+    taken; two sets that have ``LEAST_SHARE`` of their words in common share one of these.
+    """
+    single = prints.select("node", F.explode(F.array_distinct("words")).alias("word"))
+    counted = single.join(single.groupBy("word").agg(F.count("*").alias("n")), "word")
+    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("all"))
+    kept = F.size("all") - F.ceil(F.size("all") * LEAST_SHARE - 1e-9).cast("int") + 1
+    first = ordered.select("node", F.explode(F.slice("all", F.lit(1), kept)).alias("at"))
+    return first.join(prints.select("node", "words"), "node").select(F.lit(-1).alias("table"), F.xxhash64("at.word").alias("key"), "node", "words")
 
 
 def similar_lines(prints: DataFrame) -> DataFrame:
-    """(a, b): nodes whose fingerprints differ in few bits and whose words mostly agree.
+    """(a, b): all nodes of which ``LEAST_SHARE`` or more of the distinct words are the same.
 
-    Two fingerprints within six bits share some pair of blocks, hence a key of some table. In a
+    Fingerprints of lines this short are no measure: one changed word may flip a quarter of the bits. So the words decide.
+    The tables of rare words hold every such pair; the SimHash tables hold the closest ones once more. In a
     table all of one key are compared; those of a hot key are dealt out to salted blocks, and each pair of blocks is joined by itself.
     """
-    tables = _tables(prints)
+    tables = _tables(prints).unionByName(_rare_words(prints))
     sizes = tables.groupBy("table", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     dealt = tables.join(sizes, ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     at = ["table", "key", "low", "high"]
-    placed = met.select("table", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "print", "words")
-    left = placed.where("block = low").select(*at, F.col("node").alias("a"), F.col("print").alias("p"), F.col("words").alias("x"))
-    right = placed.where("block = high").select(*at, F.col("node").alias("b"), F.col("print").alias("q"), F.col("words").alias("y"))
+    placed = met.select("table", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "words")
+    left = placed.where("block = low").select(*at, F.col("node").alias("a"), F.col("words").alias("x"))
+    right = placed.where("block = high").select(*at, F.col("node").alias("b"), F.col("words").alias("y"))
     pairs = left.join(right, at).where("a < b or (low < high and a <> b)")
     share = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    near = (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= MOST_BITS) & (share >= LEAST_SHARE)
-    return pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.where(share >= LEAST_SHARE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
@@ -179,8 +193,8 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     not quoted, if its whole title is an error or dummy title (with the name of the site behind it, on pages that
     are no full article), or if a line is filler. Messages
     (errors, maintenance, demands for scripts) are told on pages that are no full article only: their lines are
-    masked (names, paths, numbers), equal ones become one node, and SimHash tables link near-equal nodes
-    after a check of bits and words. Lines that a trusted pattern knows pass their label on to everything
+    masked (names, paths, numbers), equal ones become one node, and tables of rare words and SimHash blocks link near-equal nodes
+    after a check of the words. Lines that a trusted pattern knows pass their label on to everything
     connected with them, and a page with such a line is a case.
 
     Pages without text (null, blank, the crawler's default) are none; a null title is an empty one. A full article

@@ -232,6 +232,23 @@ def test_all_lines_of_a_bucket_are_compared(spark, monkeypatch, block):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_short_lines_with_a_changed_word_are_linked(spark):
+    rng = random.Random(9)
+    lines = [" ".join(rng.sample(WORDS, rng.randrange(5, 12))) for _ in range(40)]
+    for line in list(lines):
+        for _ in range(3):
+            words = line.split()
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+            lines.append(" ".join(words))
+            lines.append(f"{line} {rng.choice(WORDS)}")
+    lines = sorted(set(lines))
+    rows = [(k, residue.simhash(x.split()), x.split()) for k, x in enumerate(lines)]
+    sets = [set(x.split()) for x in lines]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    got = [tuple(r) for r in residue.similar_lines(spark.createDataFrame(rows, "node bigint, print bigint, words array<string>")).collect()]
+    assert len(want) > 200 and len(got) == len(want) and set(got) == want
+
+
 def _site_page(rng, k):
     """A page with known labels: 1 around the article."""
     lines = [("Domov | Šport | Kultúra | Video", 1), ("Táto stránka používa súbory cookies. Súhlasím", 1)]
