@@ -18,8 +18,6 @@ from glosswork.session import cut
 
 #: Sorted orders (trees), and hashes that each of them has: two of 32 bits, then four of 16.
 TREES, DEPTH = 32, 6
-#: Words of a shingle for the signatures; edits are local, so longer runs keep related pages close and part unrelated ones.
-SIGNATURE_WORDS = 5
 #: Size beyond which a region of a tree is divided by one more hash, and compared across these parts in blocks of rows.
 REGION = 512
 #: Rows of such a block; two blocks make one task.
@@ -111,7 +109,7 @@ def classes(pages: DataFrame, least_words: int = 60) -> DataFrame:
     return kept.mapInArrow(_classes(least_words), "page_id bigint, class bigint")
 
 
-def _signatures(least_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signatures(least_words: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = _hasher(), set()
         for batch in batches:
@@ -124,7 +122,7 @@ def _signatures(least_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     met.clear()
                 met.add(name)
                 own.append(name)
-                rows.append(hasher.minima(hasher.shingles(words, SIGNATURE_WORDS)))
+                rows.append(hasher.minima(hasher.shingles(words, width)))
             if not own:
                 continue
             table = np.array(rows, dtype=np.uint32)
@@ -286,10 +284,13 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("tree", "first", "low", "high").applyInArrow(_compare, "a bigint, b bigint")
 
 
-def candidates(pages: DataFrame, least_words: int = 60) -> DataFrame:
-    """(a, b): pairs of classes that are neighbours in one of the sorted orders, each once."""
+def candidates(pages: DataFrame, least_words: int = 60, width: int = 3) -> DataFrame:
+    """(a, b): pairs of classes that are neighbours in one of the sorted orders, each once.
+
+    The signatures are of the runs of ``width`` words that are measured later, so the chance to be found hangs on the measure itself.
+    """
     kept = pages.select("article_text").where(has_text(F.col("article_text")))
-    rows = kept.mapInArrow(_signatures(least_words), _ROW)
+    rows = kept.mapInArrow(_signatures(least_words, width), _ROW)
     ordered = rows.repartition("tree", "first").sortWithinPartitions("tree", "first", "rest", "class")
     found = cut(ordered.mapInArrow(_neighbours, _FOUND).distinct())
     pairs, large = found.where("b is not null").select("a", "b"), found.where("b is null").drop("b")
@@ -314,7 +315,7 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def similar_classes(pages: DataFrame, member: DataFrame, width: int = 3, threshold: float = 0.5, least_words: int = 60) -> DataFrame:
     """(a, b, similarity): classes whose sets of runs of ``width`` words overlap by ``threshold`` or more of their union."""
-    pairs = candidates(pages, least_words)
+    pairs = candidates(pages, least_words, width)
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     first = member.join(needed, "class", "left_semi").groupBy("class").agg(F.min("page_id").alias("page_id"))
     texts = pages.select("page_id", "article_text").join(first, "page_id").select("class", "article_text")

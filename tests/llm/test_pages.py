@@ -106,6 +106,17 @@ def test_pairs_across_the_parts_of_dense_regions(spark, batch):
     assert len(got) == len(set(got)) and len(want) > 500 and both >= 0.99 * len(want)
 
 
+def test_scattered_edits_at_the_threshold(spark):
+    rng, rows = random.Random(11), []
+    for k in range(0, 800, 2):
+        words = _text(rng, 90).split()
+        edited = [f"z{k}n{i}" if i % 10 == 5 else w for i, w in enumerate(words)]
+        rows += [(k, "u", None, " ".join(words)), (k + 1, "u", None, " ".join(edited))]
+    got = [tuple(r) for r in neardup.near_pairs(_pages(spark, rows)).collect()]
+    want = {p for k in range(0, 800, 2) for p in _pairs(rows[k : k + 2])}
+    assert len(want) == 400 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+
+
 def test_very_long_text():
     hasher = neardup._Hasher()
     words = hasher.words("a b c d e f g " * 50_000 + "end")
