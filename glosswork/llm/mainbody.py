@@ -25,6 +25,7 @@ ROUNDS, RATE, DECAY = 150, 0.5, 2e-5
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _END = re.compile(r"[.!?…][\"“”'’»)\]]*$|[“”\"]$")
 _SPLIT = re.compile(r"\s*[|·›/•]\s*|\s{2,}")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 # Wordings of what stands around an article, in Slovak, Czech and English. They label the training pages.
 _AROUND = re.compile(
@@ -56,11 +57,20 @@ def _site(url: str | None) -> str | None:
     return re.sub(r"^www\.", "", host) if host else None
 
 
+def _worded(line: str, n: int) -> bool:
+    """True for the wording of what stands around an article; in a line of over 40 words, at least half of its sentences must have it."""
+    if n <= 40:
+        return bool(_AROUND.search(line))
+    parts = _SENTENCE.split(line)
+    return 2 * sum(bool(_AROUND.search(x)) for x in parts) >= len(parts)
+
+
 def silver(pages: list[tuple[str | None, str]]) -> list[list[int]]:
     """Labels of the non-blank lines of (url, text): 1 around the article, 0 part of it.
 
     A short line that recurs on several pages of its site in the sample, a row of menu entries, and a
-    line with the wording of notices, teasers, credits and advertisements are around; the rest is article.
+    line with the wording of notices, teasers, credits and advertisements are around; the rest is article. A long
+    line needs that wording in most of its sentences, as paragraphs of articles mention such things, too.
     """
     often: Counter = Counter()
     for url, text in pages:
@@ -79,7 +89,7 @@ def silver(pages: list[tuple[str | None, str]]) -> list[list[int]]:
             menu = len(parts) > 2 and all(len(x.split()) <= 3 for x in parts) and not _END.search(line)
             numbered = bool(_ITEM.match(line)) and n <= 14 and not _END.search(line)
             own = bool(site) and n <= 45 and often[site, _key(line)] >= LEAST_REPEATS
-            labels.append(int(bool(_TEASER.match(line)) or n <= 60 and (menu or numbered or own or bool(_AROUND.search(line)))))
+            labels.append(int(bool(_TEASER.match(line)) or menu or numbered or own or _worded(line, n)))
         out.append(labels)
     return out
 
@@ -91,7 +101,7 @@ def _bucket(n: int) -> int:
 def features(lines: list[str]) -> list[list[str]]:
     """Names of the features of each non-blank line of a page.
 
-    Words of short lines, the first and last words of long ones, marks of the beginning and the end, length,
+    The distinct words of the line, marks of the beginning and the end, length,
     capitals, separators, the place on the page, and the length of the neighbours. The records hold no
     markup, so there are no tags of ancestors.
     """
@@ -102,7 +112,7 @@ def features(lines: list[str]) -> list[list[str]]:
     first, last = (long[0], long[-1]) if long else (n, -1)
     out = []
     for k, line in enumerate(lines):
-        tokens = _TOKEN.findall(line) if counts[k] <= 40 else _TOKEN.findall(line[:60]) + _TOKEN.findall(line[-40:])
+        tokens = _TOKEN.findall(line)
         words, capitals = [], 0
         for i, x in enumerate(tokens):
             if x[0].isalpha():

@@ -287,6 +287,23 @@ def test_random_field_on_held_out_pages(spark):
     assert "Komentáre" not in body and "knižnica" in body
 
 
+def test_long_notice_told_by_its_middle(spark):
+    rng = random.Random(7)
+    some = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+    def page(k):
+        notice = " ".join(f"{some(9).capitalize()} všetky autorské práva vyhradené {some(9)}." for _ in range(4))
+        decoy = " ".join(f"{some(12).capitalize()}." for _ in range(2)) + f" {some(9).capitalize()} o cookies {some(9)}. " + " ".join(f"{some(12).capitalize()}." for _ in range(2))
+        return [*_site_page(rng, k), (notice, 1), (decoy, 0)]
+
+    made = [page(k) for k in range(260)]
+    assert all(len(x.split()) > 60 for p in made for x, _ in p[-2:])
+    rows = [(k, f"https://s{k % 3}.example/{k}", None, "\n".join(x for x, _ in p)) for k, p in enumerate(made)]
+    got = {tuple(r) for r in mainbody.lines_around(_pages(spark, rows[160:]), mainbody.fit(_pages(spark, rows[:160]))).collect()}
+    told = [((k, len(made[k]) - 1) in got, (k, len(made[k])) in got) for k in range(160, 260)]
+    assert sum(a for a, _ in told) >= 97 and sum(b for _, b in told) <= 3
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
