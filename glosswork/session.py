@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, lazily."""
@@ -47,3 +51,30 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder; what is put there goes with ``release``, at the latest when the program ends."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a Parquet table: columns that repeat take little space, and later reads take only what they need."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Deletes all folders of ``new_folder``. Results that are not read yet must not need them any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone; the folder then stays
+            pass
