@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,44 +12,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import has_text
+from glosswork.llm.hashing import WordHashes, hash64, signed
 from glosswork.operators.graph import components
-from glosswork.session import cut
+from glosswork.session import cut, written
 
-#: Sorted orders (trees), and hashes that each of them has: two of 32 bits, then four of 16.
-TREES, DEPTH = 32, 6
-#: Size beyond which a region of a tree is divided by one more hash, and compared across these parts in blocks of rows.
+#: Sorted orders (trees); each sorts by two hashes of 32 bits.
+TREES = 24
+#: Rows with one equal hash up to which all of them are neighbours; beyond, two equal hashes are needed.
 REGION = 512
-#: Rows of such a block; two blocks make one task.
-BLOCK = 1024
-#: Bytes of the sketch that travels with each row, and those that must agree before two texts are compared.
-SKETCH, AGREE = 16, 2
+#: Rows of a block of a region that is large even so; two blocks make one task.
+BLOCK = 4096
+#: Bits of the sketch that travels with each row, and those that may differ. Of two texts with half of their shingles
+#: in common a quarter of the bits differ on average; more than so many do with a chance of about 1 in 1,500.
+SKETCH, MOST_BITS = 128, 48
+#: Share of the texts from which hot keys are told, and bound on their number. This places rows, it drops none.
+SAMPLE, HOT_KEYS = 64, 20_000
+#: Bits of the filter that keeps texts which no candidate needs from moving; a fixed size.
+FILTER_BITS = 2**24
 
 _WORD = re.compile(r"[^\W_]+")
-_MOST_WORDS = 400_000
 
 
 class _Hasher:
-    """Words to 64-bit numbers, remembered within a bound; shingles and signatures from them."""
+    """Words of a text as numbers; shingles, minima and sketches from them."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.numbers = WordHashes()
         draw = np.random.RandomState(20240607)
-        n = TREES * DEPTH + SKETCH
+        n = TREES * 2 + SKETCH
         self.factor = (draw.randint(1, 2**31, n).astype(np.uint64) * 2 + 1)[:, None].astype(np.uint32)
         self.offset = draw.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32)[:, None]
 
     def words(self, text: str) -> np.ndarray:
-        known = self.known
-        if len(known) > _MOST_WORDS:
-            known.clear()
-        out = []
-        for w in _WORD.findall(text.lower()):
-            h = known.get(w)
-            if h is None:
-                b = w.encode("utf-8", "surrogatepass")
-                h = known[w] = zlib.crc32(b) << 32 | zlib.crc32(b, 0x9E3779B9)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        return self.numbers.of(_WORD.findall(text.lower()))
 
     @staticmethod
     def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -83,192 +77,189 @@ def _hasher() -> _Hasher:
 
 def _class(words: np.ndarray) -> int:
     """64 bits for a text's sequence of words; equal texts up to case and punctuation are one class."""
-    a = zlib.crc32(words.tobytes())
-    b = zlib.crc32((words ^ (words >> np.uint64(31))).tobytes(), len(words) & 0xFFFFFFFF)
-    return int(np.int64(np.uint64(a << 32 | b)))
+    return signed(hash64(words.tobytes()))
 
 
-def _classes(least_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hasher()
-        for batch in batches:
-            ids, found = [], []
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = hasher.words(text)
-                if len(words) >= least_words:
-                    ids.append(page)
-                    found.append(_class(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["page_id", "class"])
+def _bit(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum that all of its bits decide."""
+    mixed = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    mixed = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (mixed >> np.uint32(31)).astype(np.uint8)
+
+
+_ROW = "tree tinyint, h1 int, h2 int, class bigint, s1 bigint, s2 bigint"
+_NAMES = ["tree", "h1", "h2", "class", "s1", "s2"]
 
-    return run
 
+def _batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
-def classes(pages: DataFrame, least_words: int = 60) -> DataFrame:
-    """(page_id, class): pages with text of ``least_words`` or more; pages with the same words in order share a class."""
-    kept = pages.select("page_id", "article_text").where(has_text(F.col("article_text")))
-    return kept.mapInArrow(_classes(least_words), "page_id bigint, class bigint")
 
+def _sign(least_words: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per page a row of tree -1 with its class and, as s1, its id; per class that the task meets first, a row for each tree."""
 
-def _signatures(least_words: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = _hasher(), set()
         for batch in batches:
-            own, rows = [], []
-            for text in batch.column(0).to_pylist():
+            pages, classes, own, rows = [], [], [], []
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = hasher.words(text)
-                if len(words) < least_words or (name := _class(words)) in met:
+                if len(words) < least_words:
+                    continue
+                name = _class(words)
+                pages.append(page)
+                classes.append(name)
+                if name in met:
                     continue
                 if len(met) > 1_000_000:
                     met.clear()
                 met.add(name)
                 own.append(name)
                 rows.append(hasher.minima(hasher.shingles(words, width)))
-            if not own:
-                continue
-            table = np.array(rows, dtype=np.uint32)
-            least = table[:, : TREES * DEPTH].reshape(len(own), TREES, DEPTH).astype(np.uint64)
-            first = (least[:, :, 0] << np.uint64(32)) | least[:, :, 1]
-            rest = np.zeros_like(first)
-            for j in range(2, DEPTH):
-                rest = (rest << np.uint64(16)) | (least[:, :, j] & np.uint64(0xFFFF))
-            sketch = np.ascontiguousarray((table[:, TREES * DEPTH :] & 0xFF).astype(np.uint8)).view(np.int64)
-            n = len(own)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.tile(np.arange(TREES, dtype=np.int8), n)),
-                    pa.array(first.reshape(-1).view(np.int64)),
-                    pa.array(rest.reshape(-1).view(np.int64)),
-                    pa.array(np.repeat(np.array(own, dtype=np.int64), TREES)),
-                    pa.array(np.repeat(sketch[:, 0], TREES)),
-                    pa.array(np.repeat(sketch[:, 1], TREES)),
-                ],
-                names=["tree", "first", "rest", "class", "s1", "s2"],
-            )
+            n = len(pages)
+            none = np.zeros(n, np.int32)
+            yield _batch(np.full(n, -1, np.int8), none, none, np.array(classes, np.int64), np.array(pages, np.int64), np.zeros(n, np.int64))
+            if own:
+                table = np.array(rows, dtype=np.uint32)
+                n = len(own)
+                orders = table[:, : TREES * 2].reshape(n * TREES, 2).view(np.int32)
+                sketch = np.packbits(_bit(table[:, TREES * 2 :]), axis=1).view(np.int64)
+                repeat = lambda x: np.repeat(x, TREES)
+                yield _batch(np.tile(np.arange(TREES, dtype=np.int8), n), orders[:, 0].copy(), orders[:, 1].copy(), repeat(np.array(own, np.int64)), repeat(sketch[:, 0]), repeat(sketch[:, 1]))
 
     return run
 
 
-_ROW = "tree tinyint, first bigint, rest bigint, class bigint, s1 bigint, s2 bigint"
+def signed_pages(pages: DataFrame, least_words: int = 60, width: int = 3) -> DataFrame:
+    """One pass over the texts, written once: the class of each page (tree -1) and the signature rows of each class.
 
+    Pages with the same words in order share a class, told by 64 bits.
+    """
+    kept = pages.select("page_id", "article_text").where(F.col("page_id").isNotNull() & has_text(F.col("article_text")))
+    return written(kept.mapInArrow(_sign(least_words, width), _ROW))
 
-def _close(name: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one region whose sketches agree in enough bytes, compared in blocks of rows."""
-    left, right = [], []
-    step = max(1, 2_000_000 // max(1, len(name) * SKETCH))
-    for at in range(0, len(name), step):
-        same = (sketch[at : at + step, None, :] == sketch[None, :, :]).sum(axis=2)
-        i, j = np.nonzero(same >= AGREE)
-        ok = j > i + at
-        left.append(name[i[ok] + at])
-        right.append(name[j[ok]])
+
+def members(rows: DataFrame) -> DataFrame:
+    """(page_id, class) of ``signed_pages``; a page_id that repeats has a row for each of its texts."""
+    return rows.where("tree = -1").select(F.col("s1").alias("page_id"), "class").distinct()
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which two sketches differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1)
+
+
+def _within(name: np.ndarray, sketch: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with close sketches of each row i with the rows up to ``end[i]``, for all regions at once."""
+    left, right = [name[:0]], [name[:0]]
+    open_, step = np.flatnonzero(np.arange(len(name)) + 1 < end), 1
+    while len(open_):
+        near = open_[_differ(sketch[open_], sketch[open_ + step]) <= MOST_BITS]
+        left.append(name[near])
+        right.append(name[near + step])
+        step += 1
+        open_ = open_[open_ + step < end[open_]]
     return np.concatenate(left), np.concatenate(right)
 
 
 def _across(name: np.ndarray, sketch: np.ndarray, other: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``_close``, each row of one block with each of another."""
+    """Pairs with close sketches of each row of one block with each of another."""
     left, right = [name[:0]], [other[:0]]
-    step = max(1, 2_000_000 // max(1, len(other) * SKETCH))
+    step = max(1, 1_000_000 // max(1, len(other)))
     for at in range(0, len(name), step):
-        i, j = np.nonzero((sketch[at : at + step, None, :] == others[None, :, :]).sum(axis=2) >= AGREE)
+        i, j = np.nonzero(_differ(sketch[at : at + step, None, :], others[None, :, :]) <= MOST_BITS)
         left.append(name[i + at])
         right.append(other[j])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _regions(first: np.ndarray, rest: np.ndarray, name: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of sorted rows: regions with a common prefix of two hashes, divided further while they are large.
-
-    Pairs across the parts of a divided region, and those of parts that stay large, are left to ``_block_pairs``.
-    """
-    bounds = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True])))
-    sizes = np.diff(bounds)
-    for k in np.flatnonzero(sizes > 1):
-        open_ = [(bounds[k], bounds[k + 1], 2)]
-        while open_:
-            a, b, depth = open_.pop()
-            if b - a < 2:
-                continue
-            if b - a <= REGION:
-                yield _close(name[a:b], sketch[a:b])
-            if b - a <= REGION or depth == DEPTH:
-                continue
-            prefix = rest[a:b].view(np.uint64) >> np.uint64(16 * (DEPTH - depth - 1))
-            cuts = a + np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1], [True])))
-            open_.extend((cuts[i], cuts[i + 1], depth + 1) for i in range(len(cuts) - 1))
-
-
-_FOUND = "a bigint, b bigint, tree tinyint, first bigint, s1 bigint, s2 bigint"
+_FOUND = "a bigint, b bigint, tree tinyint, h1 int, h2 int, s1 bigint, s2 bigint"
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = [pa.nulls(len(a), k) for k in (pa.int8(), pa.int64(), pa.int64(), pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=["a", "b", "tree", "first", "s1", "s2"])
+    none = [pa.nulls(len(a), k) for k in (pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=["a", "b", *_NAMES[:3], "s1", "s2"])
+
 
+def _row_batch(parts: list[np.ndarray]) -> pa.RecordBatch:
+    tree, h1, h2, name, s1, s2 = parts
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(len(name), pa.int64()), *map(pa.array, (tree, h1, h2, s1, s2))], names=["a", "b", *_NAMES[:3], "s1", "s2"])
 
-def _row_batch(tree: np.ndarray, first: np.ndarray, name: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(len(name), pa.int64()), *map(pa.array, (tree, first, s1, s2))], names=["a", "b", "tree", "first", "s1", "s2"])
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    for k, c in enumerate(columns):
+        out[1:] = (c[1:] != c[:-1]) if k == 0 else out[1:] | (c[1:] != c[:-1])
+    return out
+
+
+def _ends(starts: np.ndarray) -> np.ndarray:
+    """For each row the end of its run, from the marks of the runs' starts."""
+    at = np.append(np.flatnonzero(starts), len(starts))
+    return np.repeat(at[1:], np.diff(at))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scan of the sorted orders: candidates within the regions, and the rows themselves (b null) of each large region.
+    """Scan of the sorted orders: candidates with a common prefix, and the rows (b null) of regions that are compared in blocks.
 
-    The last region of a batch waits for the next; once it is large its rows are passed on as they come.
+    The depth is the region's own: rows with one equal hash are neighbours if there are at most ``REGION`` of them (``deep`` marks
+    keys that are known to have more), else those with two. What is not ended yet waits for the next batch, at most ``REGION`` rows beyond it.
     """
     held: list[np.ndarray] | None = None
-    hot: tuple[int, int] | None = None
-
-    def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tree, first, rest, name, s1, s2 = parts
-        if len(name) < 2:
-            return
-        new = np.ones(len(name), bool)  # copies that several tasks saw
-        new[1:] = (name[1:] != name[:-1]) | (tree[1:] != tree[:-1])
-        tree, first, rest, name, s1, s2 = (x[new] for x in parts)
-        sketch = np.stack([s1, s2], axis=1).view(np.uint8).reshape(len(name), SKETCH)
-        for t in np.unique(tree):
-            on = tree == t
-            lefts, rights = [], []
-            for a, b in _regions(first[on], rest[on], name[on], sketch[on]):
-                lefts.append(a)
-                rights.append(b)
-            if lefts:
-                a, b = np.concatenate(lefts), np.concatenate(rights)
-                yield _pair_batch(a[a != b], b[a != b])
-        ends = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (tree[1:] != tree[:-1]), [True])))
-        large = np.repeat(np.diff(ends) > REGION, np.diff(ends))
-        if large.any():
-            yield _row_batch(*(x[large] for x in (tree, first, name, s1, s2)))
+    large: tuple | None = None  # (tree, h1) with more than REGION rows
+    dense: tuple | None = None  # (tree, h1, h2) with more than REGION rows
+
+    def scan(parts: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, large, dense
+        fresh = _new(*parts[:4])  # copies that several tasks saw
+        parts = [x[fresh] for x in parts]
+        tree, h1, h2, name, s1, s2, deep = parts
+        n = len(name)
+        index = np.arange(n)
+        shallow = _new(tree, h1, np.where(deep, h2, 0))
+        end = _ends(shallow)
+        start = np.maximum.accumulate(np.where(shallow, index, 0))
+        more = deep | (end - start > REGION)
+        if large is not None:
+            more |= (tree == large[0]) & (h1 == large[1])
+        two = _new(tree, h1, h2)
+        end2 = _ends(two)
+        start2 = np.maximum.accumulate(np.where(two, index, 0))
+        passed = more & (end2 - start2 > REGION)
+        if dense is not None:
+            passed |= (tree == dense[0]) & (h1 == dense[1]) & (h2 == dense[2])
+        reach = np.where(passed, index, np.where(more, end2, end))
+        wait = n
+        if not last:
+            large = (tree[-1], h1[-1]) if more[-1] else None
+            dense = (tree[-1], h1[-1], h2[-1]) if passed[-1] else None
+            wait = n if passed[-1] else int(start2[-1] if more[-1] else start[-1])
+        if passed[:wait].any():
+            yield _row_batch([x[:wait][passed[:wait]] for x in (tree, h1, h2, name, s1, s2)])
+        if wait:
+            a, b = _within(name[:wait], np.stack([s1, s2], axis=1).view(np.uint64)[:wait], np.minimum(reach[:wait], wait))
+            yield _pair_batch(a[a != b], b[a != b])
+        held = [x[wait:] for x in parts]
 
     for batch in batches:
-        parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "first", "rest", "class", "s1", "s2")]
-        if hot is not None:
-            more = (parts[0] == hot[0]) & (parts[1] == hot[1])
-            if more.any():
-                yield _row_batch(*(parts[k][more] for k in (0, 1, 3, 4, 5)))
-            parts = [x[~more] for x in parts]
-        elif held is not None:
-            parts = [np.concatenate([x, y]) for x, y in zip(held, parts, strict=True)]
-        if not len(parts[0]):
+        if not batch.num_rows:
             continue
-        hot = None
-        last = (parts[0] == parts[0][-1]) & (parts[1] == parts[1][-1])
-        start = int(np.argmax(last))
-        yield from out([x[:start] for x in parts])
-        held = [x[start:] for x in parts]
-        if len(np.unique(held[3])) > REGION:
-            yield _row_batch(*(held[k] for k in (0, 1, 3, 4, 5)))
-            hot, held = (int(held[0][0]), int(held[1][0])), None
-    if held is not None:
-        yield from out(held)
+        parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*_NAMES, "deep")]
+        if held is not None and len(held[0]):
+            parts = [np.concatenate([x, y]) for x, y in zip(held, parts, strict=True)]
+        yield from scan(parts, False)
+    if held is not None and len(held[0]):
+        yield from scan(held, True)
 
 
 def _compare(group: pa.Table) -> pa.Table:
     """Candidates between two blocks of one large region, or within one."""
     name, low = group.column("a").to_numpy(), group.column("low").to_numpy()
     block, high = group.column("block").to_numpy(), group.column("high").to_numpy()
-    sketch = np.stack([group.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint8).reshape(len(name), SKETCH)
+    sketch = np.stack([group.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64)
     if low[0] == high[0]:
-        a, b = _close(name, sketch)
+        a, b = _within(name, sketch, np.full(len(name), len(name)))
     else:
         on = block == low[0]
         a, b = _across(name[on], sketch[on], name[~on], sketch[~on])
@@ -277,23 +268,38 @@ def _compare(group: pa.Table) -> pa.Table:
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): candidates of the large regions, every row against every other, each pair of blocks as a group of its own."""
-    regions = rows.groupBy("tree", "first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(regions, ["tree", "first"]).withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    key = ["tree", "h1", "h2"]
+    regions = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(regions, key).withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = met.select("tree", "first", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "a", "s1", "s2")
-    return pairs.groupBy("tree", "first", "low", "high").applyInArrow(_compare, "a bigint, b bigint")
+    pairs = met.select(*key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "a", "s1", "s2")
+    return pairs.groupBy(*key, "low", "high").applyInArrow(_compare, "a bigint, b bigint")
+
 
+def _hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of one hash, and of two, that very many rows have, as a sample of the texts tells; at most ``HOT_KEYS`` each."""
+    seen = cut(rows.where(F.pmod(F.xxhash64("class"), F.lit(SAMPLE)) == 0).groupBy("tree", "h1", "h2").agg(F.count("*").alias("n")))
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(2 * REGION // SAMPLE + 16, -(-total // HOT_KEYS))
+    one = seen.groupBy("tree", "h1").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).select("tree", "h1", F.lit(True).alias("deep"))
+    two = seen.where(F.col("n") >= bound).select("tree", "h1", "h2", F.lit(True).alias("hot"))
+    return one, two
 
-def candidates(pages: DataFrame, least_words: int = 60, width: int = 3) -> DataFrame:
-    """(a, b): pairs of classes that are neighbours in one of the sorted orders, each once.
 
-    The signatures are of the runs of ``width`` words that are measured later, so the chance to be found hangs on the measure itself.
+def candidates(signed_rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that are neighbours in one of the sorted orders and have close sketches, each once.
+
+    Rows meet by (tree, first hash); where that key is hot, by both hashes; where both are, in salted blocks.
     """
-    kept = pages.select("article_text").where(has_text(F.col("article_text")))
-    rows = kept.mapInArrow(_signatures(least_words, width), _ROW)
-    ordered = rows.repartition("tree", "first").sortWithinPartitions("tree", "first", "rest", "class")
+    rows = signed_rows.where("tree >= 0")
+    one, two = _hot(rows)
+    told = rows.join(F.broadcast(one), ["tree", "h1"], "left").join(F.broadcast(two), ["tree", "h1", "h2"], "left")
+    told = told.select(*_NAMES, F.coalesce("deep", F.lit(False)).alias("deep"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    spread = F.when(F.col("deep"), F.col("h2")).otherwise(0)
+    ordered = told.where("not hot").drop("hot").repartition("tree", "h1", spread).sortWithinPartitions("tree", "h1", "h2", "class")
     found = cut(ordered.mapInArrow(_neighbours, _FOUND).distinct())
-    pairs, large = found.where("b is not null").select("a", "b"), found.where("b is null").drop("b")
+    pairs = found.where("b is not null").select("a", "b")
+    large = found.where("b is null").drop("b").unionByName(told.where("hot").select(F.col("class").alias("a"), "tree", "h1", "h2", "s1", "s2").distinct())
     if large.isEmpty():
         return pairs
     return cut(pairs.union(_block_pairs(large)).distinct())
@@ -305,21 +311,39 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                own = [hasher.shingles(hasher.words(x), width) for x in part.column(1).to_pylist()]
+                own, names = [], []
+                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = hasher.words(text)
+                    if _class(words) == name:  # else another text under the same page_id
+                        names.append(name)
+                        own.append(hasher.shingles(words, width))
                 flat = np.concatenate([*own, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["class", "shingles"])
 
     return run
 
 
-def similar_classes(pages: DataFrame, member: DataFrame, width: int = 3, threshold: float = 0.5, least_words: int = 60) -> DataFrame:
+def _only(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``pages`` less most of those whose page_id is not in ``wanted``.
+
+    The filter is a bitmap of ``FILTER_BITS`` bits, 64 to a row, so its size is bounded whatever the number of pages; it lets some
+    through that are not wanted and none out that is.
+    """
+    place = F.pmod(F.xxhash64("page_id"), F.lit(FILTER_BITS))
+    bits = wanted.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(page_id), {FILTER_BITS}) % 64 as int))").alias("_bit"))
+    table = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = pages.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(table), "_word")
+    return met.where(F.expr("shiftrightunsigned(_bits, cast(_place % 64 as int)) & 1L = 1L")).select(*pages.columns)
+
+
+def similar_classes(pages: DataFrame, signed_rows: DataFrame, member: DataFrame, width: int = 3, threshold: float = 0.5) -> DataFrame:
     """(a, b, similarity): classes whose sets of runs of ``width`` words overlap by ``threshold`` or more of their union."""
-    pairs = candidates(pages, least_words, width)
+    pairs = candidates(signed_rows)
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    first = member.join(needed, "class", "left_semi").groupBy("class").agg(F.min("page_id").alias("page_id"))
-    texts = pages.select("page_id", "article_text").join(first, "page_id").select("class", "article_text")
-    sets = cut(texts.mapInArrow(_sets(width), "class bigint, shingles array<bigint>"))
+    first = cut(member.join(needed, "class", "left_semi").groupBy("class").agg(F.min("page_id").alias("page_id")))
+    texts = _only(pages.select("page_id", "article_text").where(has_text(F.col("article_text"))), first).join(first, "page_id").select("class", "article_text")
+    sets = cut(texts.mapInArrow(_sets(width), "class bigint, shingles array<bigint>").dropDuplicates(["class"]))
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -328,27 +352,28 @@ def similar_classes(pages: DataFrame, member: DataFrame, width: int = 3, thresho
 
 
 def near_pairs(pages: DataFrame, width: int = 3, threshold: float = 0.5, least_words: int = 60) -> DataFrame:
-    """(page_id_a, page_id_b): all pairs of pages with similar text, the smaller id first.
+    """(page_id_a, page_id_b): all pairs of pages with similar text, the smaller id first, each once.
 
     Pages whose words are the same in order are one class, which is signed once per task
     however many copies there are. The classes are sorted by ``TREES`` independent
-    orders of min-hash signatures; those that share a prefix of at least two hashes with their
-    neighbours are candidates; a dense region is compared in blocks of rows, each pair of blocks a group. A sketch of ``SKETCH``
-    bytes sorts out chance neighbours before any text moves; what is left is
-    measured exactly on the whole texts. Last, classes are opened to their members,
+    orders of min-hash signatures. Those that share the first hash of an order are its neighbours; in a dense region the
+    common prefix must be two hashes long, and a region that is dense even so is compared whole, in blocks of rows. A sketch of
+    ``SKETCH`` bits sorts out chance neighbours before anything else moves; what is left is
+    measured exactly on the whole texts, of which only those needed move. Last, classes are opened to their members,
     as each pair of pages is asked for.
 
-    Pages without text (null, blank, the crawler's default) or with fewer than ``least_words``
-    words give no pairs. An empty table gives no rows. The search is probabilistic: a pair at
-    the threshold is missed with a chance of about one in a hundred, closer pairs much more rarely.
+    Pages without text (null, blank, the crawler's default), with fewer than ``least_words``
+    words or without page_id give no pairs. An empty table gives no rows. The search is probabilistic: a pair at
+    the threshold is missed with a chance below one in two hundred, closer pairs much more rarely.
     """
-    member = cut(classes(pages, least_words))
-    alike = similar_classes(pages, member, width, threshold, least_words)
+    rows = signed_pages(pages, least_words, width)
+    member = members(rows)
+    alike = similar_classes(pages, rows, member, width, threshold)
     left = member.select(F.col("page_id").alias("p"), F.col("class").alias("a"))
     right = member.select(F.col("page_id").alias("q"), F.col("class").alias("b"))
     across = alike.select("a", "b").join(left, "a").join(right, "b").select("p", "q")
     within = left.join(right.withColumnRenamed("b", "a"), "a").where("p < q").select("p", "q")
-    return across.unionByName(within).select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"))
+    return across.unionByName(within).where("p <> q").select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"))
 
 
 def groups(pages: DataFrame, width: int = 3, threshold: float = 0.5, least_words: int = 60) -> DataFrame:
@@ -357,8 +382,9 @@ def groups(pages: DataFrame, width: int = 3, threshold: float = 0.5, least_words
     group_id is the least page_id that the page is linked to over any number of similar
     texts, its own if none; links counts the other classes (different texts) that its text is similar to.
     """
-    member = cut(classes(pages, least_words))
-    alike = cut(similar_classes(pages, member, width, threshold, least_words).select("a", "b"))
+    rows = signed_pages(pages, least_words, width)
+    member = members(rows)
+    alike = cut(similar_classes(pages, rows, member, width, threshold).select("a", "b"))
     links = alike.select(F.col("a").alias("class")).union(alike.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
     group = components(alike)
     rooted = member.join(group.withColumnRenamed("node", "class"), "class", "left").select("page_id", "class", F.coalesce("component", "class").alias("root"))

@@ -74,20 +74,33 @@ def test_near_pairs_of_many_copies_and_of_nothing(spark):
     assert neardup.groups(_pages(spark, [])).count() == 0
 
 
-def test_dense_regions_are_divided(spark, monkeypatch):
+def test_depth_follows_the_region(monkeypatch):
     import numpy as np
+    import pyarrow as pa
 
-    first = np.zeros(40, np.int64)
-    rest = np.repeat(np.arange(10, dtype=np.int64) << 48, 4)
-    name, sketch = np.arange(40), np.zeros((40, neardup.SKETCH), np.uint8)
-    count = lambda: sum(len(a) for a, _ in neardup._regions(first, rest, name, sketch))
-    assert count() == 40 * 39 // 2
     monkeypatch.setattr(neardup, "REGION", 8)
-    assert count() == 10 * 6
+    sizes = {(0, 1): 5, (1, 1): 4, (1, 2): 4, (2, 1): 6, (2, 2): 7, (2, 3): 20, (3, 1): 8}  # rows of each (h1, h2)
+    h1, h2 = (np.concatenate([np.full(n, k[i], np.int32) for k, n in sizes.items()]) for i in (0, 1))
+    n = len(h1)
+    name = np.arange(n, dtype=np.int64)
+    columns = [np.zeros(n, np.int8), h1, h2, name, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)]
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if h1[a] == h1[b] and (h1[a] != 2 or (h2[a] == h2[b] and h2[a] != 3))}
+    for step in (1, 3, 7, n):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in columns], names=["tree", "h1", "h2", "class", "s1", "s2", "deep"]) for k in range(0, n, step)]
+        out = [r for x in neardup._neighbours(iter(batches)) for r in x.to_pylist()]
+        pairs = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+        rows = sorted(r["a"] for r in out if r["b"] is None)
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want, step
+        assert rows == [k for k in range(n) if (h1[k], h2[k]) == (2, 3)], step
 
 
 @pytest.mark.parametrize("batch", ["700", "10000"])
-def test_pairs_across_the_parts_of_dense_regions(spark, batch):
+@pytest.mark.parametrize("hot", [False, True])
+def test_pairs_of_dense_regions(spark, monkeypatch, batch, hot):
+    if hot:  # every region goes by the way of hot keys
+        monkeypatch.setattr(neardup, "SAMPLE", 1)
+        monkeypatch.setattr(neardup, "REGION", 8)
+        monkeypatch.setattr(neardup, "BLOCK", 128)
     rng = random.Random(5)
     base = _text(rng, 200).split()
     edited = [(k, "u", None, " ".join(base[: k % 200] + [f"z{k}"] + base[k % 200 + 1 :])) for k in range(800)]
@@ -98,7 +111,7 @@ def test_pairs_across_the_parts_of_dense_regions(spark, batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         far = [name[p] for p, *_ in apart]
-        found = neardup.candidates(_pages(spark, rows))
+        found = neardup.candidates(neardup.signed_pages(_pages(spark, rows)))
         got = [tuple(r) for r in found.where(found.a.isin(far) | found.b.isin(far)).collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -106,6 +119,20 @@ def test_pairs_across_the_parts_of_dense_regions(spark, batch):
     assert len(got) == len(set(got)) and len(want) > 500 and both >= 0.99 * len(want)
 
 
+def test_hashes_have_64_bits_of_their_own():
+    from glosswork.llm.hashing import WordHashes
+
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(100_000)})
+    h = WordHashes().of(words)
+    assert len(set(h.tolist())) == len(words)
+    low, high = {}, {}
+    for x in h.tolist():  # neither half tells the other
+        low.setdefault(x & 0xFFF, set()).add(x >> 52)
+        high.setdefault(x >> 52, set()).add(x & 0xFFF)
+    assert min(map(len, low.values())) > 5 and min(map(len, high.values())) > 5
+
+
 def test_scattered_edits_at_the_threshold(spark):
     rng, rows = random.Random(11), []
     for k in range(0, 800, 2):
@@ -120,7 +147,7 @@ def test_scattered_edits_at_the_threshold(spark):
 def test_very_long_text():
     hasher = neardup._Hasher()
     words = hasher.words("a b c d e f g " * 50_000 + "end")
-    assert len(words) == 350_001 and hasher.minima(hasher.shingles(words, 5)).shape == (neardup.TREES * neardup.DEPTH + neardup.SKETCH,)
+    assert len(words) == 350_001 and hasher.minima(hasher.shingles(words, 5)).shape == (neardup.TREES * 2 + neardup.SKETCH,)
     assert len(hasher.shingles(hasher.words(""), 5)) == 0 and len(hasher.shingles(hasher.words("one two"), 5)) == 1
 
 
