@@ -19,12 +19,12 @@ from glosswork.session import cut, written
 #: Sorted orders (trees); each sorts by two hashes of 32 bits.
 TREES = 24
 #: Rows with one equal hash up to which all of them are neighbours; beyond, two equal hashes are needed.
-REGION = 512
-#: Rows of a block of a region that is large even so; two blocks make one task.
-BLOCK = 4096
+SPARSE = 32
+#: Rows with two equal hashes beyond which a region is compared in blocks, rows of such a block; two blocks make one task.
+REGION, BLOCK = 512, 4096
 #: Bits of the sketch that travels with each row, and those that may differ. Of two texts with half of their shingles
-#: in common a quarter of the bits differ on average; more than so many do with a chance of about 1 in 1,500.
-SKETCH, MOST_BITS = 128, 48
+#: in common a quarter of the bits differ on average; more than so many do with a chance of about 1 in 800.
+SKETCH, MOST_BITS = 192, 66
 #: Share of the texts from which hot keys are told, and bound on their number. This places rows, it drops none.
 SAMPLE, HOT_KEYS = 64, 20_000
 #: Bits of the filter that keeps texts which no candidate needs from moving; a fixed size.
@@ -87,8 +87,9 @@ def _bit(least: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint32(31)).astype(np.uint8)
 
 
-_ROW = "tree tinyint, h1 int, h2 int, class bigint, s1 bigint, s2 bigint"
-_NAMES = ["tree", "h1", "h2", "class", "s1", "s2"]
+_ROW = "tree tinyint, h1 int, h2 int, class bigint, s1 bigint, s2 bigint, s3 bigint"
+_PARTS = ["s1", "s2", "s3"]
+_NAMES = ["tree", "h1", "h2", "class", *_PARTS]
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
@@ -118,14 +119,14 @@ def _sign(least_words: int, width: int) -> Callable[[Iterator[pa.RecordBatch]],
                 rows.append(hasher.minima(hasher.shingles(words, width)))
             n = len(pages)
             none = np.zeros(n, np.int32)
-            yield _batch(np.full(n, -1, np.int8), none, none, np.array(classes, np.int64), np.array(pages, np.int64), np.zeros(n, np.int64))
+            yield _batch(np.full(n, -1, np.int8), none, none, np.array(classes, np.int64), np.array(pages, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64))
             if own:
                 table = np.array(rows, dtype=np.uint32)
                 n = len(own)
                 orders = table[:, : TREES * 2].reshape(n * TREES, 2).view(np.int32)
                 sketch = np.packbits(_bit(table[:, TREES * 2 :]), axis=1).view(np.int64)
                 repeat = lambda x: np.repeat(x, TREES)
-                yield _batch(np.tile(np.arange(TREES, dtype=np.int8), n), orders[:, 0].copy(), orders[:, 1].copy(), repeat(np.array(own, np.int64)), repeat(sketch[:, 0]), repeat(sketch[:, 1]))
+                yield _batch(np.tile(np.arange(TREES, dtype=np.int8), n), orders[:, 0].copy(), orders[:, 1].copy(), repeat(np.array(own, np.int64)), *(repeat(sketch[:, k]) for k in range(len(_PARTS))))
 
     return run
 
@@ -173,17 +174,17 @@ def _across(name: np.ndarray, sketch: np.ndarray, other: np.ndarray, others: np.
     return np.concatenate(left), np.concatenate(right)
 
 
-_FOUND = "a bigint, b bigint, tree tinyint, h1 int, h2 int, s1 bigint, s2 bigint"
+_FOUND = "a bigint, b bigint, tree tinyint, h1 int, h2 int, s1 bigint, s2 bigint, s3 bigint"
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = [pa.nulls(len(a), k) for k in (pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=["a", "b", *_NAMES[:3], "s1", "s2"])
+    none = [pa.nulls(len(a), k) for k in (pa.int8(), pa.int32(), pa.int32(), *[pa.int64()] * len(_PARTS))]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=["a", "b", *_NAMES[:3], *_PARTS])
 
 
 def _row_batch(parts: list[np.ndarray]) -> pa.RecordBatch:
-    tree, h1, h2, name, s1, s2 = parts
-    return pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(len(name), pa.int64()), *map(pa.array, (tree, h1, h2, s1, s2))], names=["a", "b", *_NAMES[:3], "s1", "s2"])
+    tree, h1, h2, name, *sketch = parts
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(len(name), pa.int64()), *map(pa.array, (tree, h1, h2, *sketch))], names=["a", "b", *_NAMES[:3], *_PARTS])
 
 
 def _new(*columns: np.ndarray) -> np.ndarray:
@@ -203,24 +204,24 @@ def _ends(starts: np.ndarray) -> np.ndarray:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scan of the sorted orders: candidates with a common prefix, and the rows (b null) of regions that are compared in blocks.
 
-    The depth is the region's own: rows with one equal hash are neighbours if there are at most ``REGION`` of them (``deep`` marks
+    The depth is the region's own: rows with one equal hash are neighbours if there are at most ``SPARSE`` of them (``deep`` marks
     keys that are known to have more), else those with two. What is not ended yet waits for the next batch, at most ``REGION`` rows beyond it.
     """
     held: list[np.ndarray] | None = None
-    large: tuple | None = None  # (tree, h1) with more than REGION rows
+    large: tuple | None = None  # (tree, h1) with more than SPARSE rows
     dense: tuple | None = None  # (tree, h1, h2) with more than REGION rows
 
     def scan(parts: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, large, dense
         fresh = _new(*parts[:4])  # copies that several tasks saw
         parts = [x[fresh] for x in parts]
-        tree, h1, h2, name, s1, s2, deep = parts
+        tree, h1, h2, name, *sketch, deep = parts
         n = len(name)
         index = np.arange(n)
         shallow = _new(tree, h1, np.where(deep, h2, 0))
         end = _ends(shallow)
         start = np.maximum.accumulate(np.where(shallow, index, 0))
-        more = deep | (end - start > REGION)
+        more = deep | (end - start > SPARSE)
         if large is not None:
             more |= (tree == large[0]) & (h1 == large[1])
         two = _new(tree, h1, h2)
@@ -236,9 +237,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dense = (tree[-1], h1[-1], h2[-1]) if passed[-1] else None
             wait = n if passed[-1] else int(start2[-1] if more[-1] else start[-1])
         if passed[:wait].any():
-            yield _row_batch([x[:wait][passed[:wait]] for x in (tree, h1, h2, name, s1, s2)])
+            yield _row_batch([x[:wait][passed[:wait]] for x in (tree, h1, h2, name, *sketch)])
         if wait:
-            a, b = _within(name[:wait], np.stack([s1, s2], axis=1).view(np.uint64)[:wait], np.minimum(reach[:wait], wait))
+            a, b = _within(name[:wait], np.stack(sketch, axis=1).view(np.uint64)[:wait], np.minimum(reach[:wait], wait))
             yield _pair_batch(a[a != b], b[a != b])
         held = [x[wait:] for x in parts]
 
@@ -257,7 +258,7 @@ def _compare(group: pa.Table) -> pa.Table:
     """Candidates between two blocks of one large region, or within one."""
     name, low = group.column("a").to_numpy(), group.column("low").to_numpy()
     block, high = group.column("block").to_numpy(), group.column("high").to_numpy()
-    sketch = np.stack([group.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64)
+    sketch = np.stack([group.column(c).to_numpy() for c in _PARTS], axis=1).view(np.uint64)
     if low[0] == high[0]:
         a, b = _within(name, sketch, np.full(len(name), len(name)))
     else:
@@ -272,7 +273,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     regions = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(regions, key).withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = met.select(*key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "a", "s1", "s2")
+    pairs = met.select(*key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "a", *_PARTS)
     return pairs.groupBy(*key, "low", "high").applyInArrow(_compare, "a bigint, b bigint")
 
 
@@ -299,7 +300,7 @@ def candidates(signed_rows: DataFrame) -> DataFrame:
     ordered = told.where("not hot").drop("hot").repartition("tree", "h1", spread).sortWithinPartitions("tree", "h1", "h2", "class")
     found = cut(ordered.mapInArrow(_neighbours, _FOUND).distinct())
     pairs = found.where("b is not null").select("a", "b")
-    large = found.where("b is null").drop("b").unionByName(told.where("hot").select(F.col("class").alias("a"), "tree", "h1", "h2", "s1", "s2").distinct())
+    large = found.where("b is null").drop("b").unionByName(told.where("hot").select(F.col("class").alias("a"), "tree", "h1", "h2", *_PARTS).distinct())
     if large.isEmpty():
         return pairs
     return cut(pairs.union(_block_pairs(large)).distinct())

@@ -79,14 +79,15 @@ def test_depth_follows_the_region(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(neardup, "REGION", 8)
+    monkeypatch.setattr(neardup, "SPARSE", 8)
     sizes = {(0, 1): 5, (1, 1): 4, (1, 2): 4, (2, 1): 6, (2, 2): 7, (2, 3): 20, (3, 1): 8}  # rows of each (h1, h2)
     h1, h2 = (np.concatenate([np.full(n, k[i], np.int32) for k, n in sizes.items()]) for i in (0, 1))
     n = len(h1)
     name = np.arange(n, dtype=np.int64)
-    columns = [np.zeros(n, np.int8), h1, h2, name, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)]
+    columns = [np.zeros(n, np.int8), h1, h2, name, *[np.zeros(n, np.int64)] * 3, np.zeros(n, bool)]
     want = {(a, b) for a in range(n) for b in range(a + 1, n) if h1[a] == h1[b] and (h1[a] != 2 or (h2[a] == h2[b] and h2[a] != 3))}
     for step in (1, 3, 7, n):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in columns], names=["tree", "h1", "h2", "class", "s1", "s2", "deep"]) for k in range(0, n, step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in columns], names=["tree", "h1", "h2", "class", "s1", "s2", "s3", "deep"]) for k in range(0, n, step)]
         out = [r for x in neardup._neighbours(iter(batches)) for r in x.to_pylist()]
         pairs = [(r["a"], r["b"]) for r in out if r["b"] is not None]
         rows = sorted(r["a"] for r in out if r["b"] is None)
