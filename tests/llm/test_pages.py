@@ -242,23 +242,48 @@ RESIDUE = [
     (13, None, "No Title Found", "No Article Text Found", False),
     (14, None, None, ARTICLE + " [1] […] 50 % a #tag", False),
     (15, None, "Not Found – Denník", "Nič tu nie je.", True),
-    (16, None, "x", "Na tejto adrese Abc momentálne prebieha údržba portálu, ďakujeme vám za trpezlivosť a pochopenie.", True),
+    (16, None, "Service unavailable", "Na tejto adrese Abc momentálne prebieha údržba portálu, ďakujeme vám za trpezlivosť a pochopenie.", True),
     (17, None, "x", "Na tejto adrese Def momentálne prebieha udržba portálu, ďakujeme vám za trpezlivosť a pochopenie.", True),
+    (18, None, "x", "Na tejto adrese Ghi momentálne prebieha údržba portálu, ďakujeme vám za trpezlivosť a pochopenie.", True),
+    (19, None, "Nadpis sem | Denník", ARTICLE, True),
+    (20, None, "x", ARTICLE + "\nPozri [poznámka] a %podiel% hlasov.", False),
+    (21, None, "x", ARTICLE + "\nPísal [MENO_AUTORA], #meno.autora# a [title] v meste.", True),
+    (22, None, "x", ARTICLE + "\nPoznámka [title_text] chýba.", True),
+    (23, None, "x", ARTICLE + "\nVoláme ho ${title} odvtedy.", True),
+    (24, None, "x", ARTICLE + "\nVoláme ho [title] odvtedy.", True),
 ]
 
 
 def test_residue(spark):
     rows = [r[:4] for r in RESIDUE]
-    got = {r["page_id"] for r in residue.residue_pages(_pages(spark, rows)).collect()}
-    assert got == {r[0] for r in RESIDUE if r[4]}  # 17 has no trusted wording: it is found through 16
+    got = {r["page_id"]: r["own"] for r in residue.evidence(_pages(spark, rows)).collect()}
+    assert set(got) == {r[0] for r in RESIDUE if r[4]}
+    assert {p for p, own in got.items() if not own} == {9, 17, 18, 24}
     assert residue.residue_pages(_pages(spark, [])).count() == 0
+    assert residue.residue_pages(_pages(spark, [(1, "u", None, None), (None, "u", "404", "x y z")])).count() == 0
+
+
+def test_residue_needs_its_edges(spark, monkeypatch):
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(residue, "similar_lines", lambda prints: none)
+    got = {r["page_id"] for r in residue.residue_pages(_pages(spark, [r[:4] for r in RESIDUE])).collect()}
+    assert got == {r[0] for r in RESIDUE if r[4]} - {9, 17}
+
+
+def test_lines_that_articles_have_do_not_spread(spark):
+    notice = "Táto stránka používa súbory cookies na zlepšenie služieb."
+    rows = [(k, "u", "404", f"Adresa /a{k} už nie je medzi našimi stránkami.\n{notice}") for k in range(3)]
+    rows += [(k, "u", "x", ARTICLE + "\n" + notice) for k in range(10, 30)]
+    rows += [(40, "u", "x", notice + "\nKrátka správa o počasí."), (41, "u", "x", notice + "\nAdresa /b už nie je medzi našimi stránkami.")]
+    assert {r["page_id"]: r["own"] for r in residue.evidence(_pages(spark, rows)).collect()} == {0: True, 1: True, 2: True, 41: False}
 
 
 def test_simhash_is_close_for_close_lines():
     a, b, c = (residue.simhash(residue.mask(x)) for x in ("stránka sa nenašla skontrolujte prosím adresu v prehliadači alebo sa vráťte na úvod", "stránka sa nenašla skontrolujte prosím adresu v prehliadači alebo sa vráťte na začiatok", "mestská knižnica otvorila novú výstavu fotografií z histórie"))
     bits = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
     assert bits(a, b) < bits(a, c)
-    assert residue.simhash([]) == 0 and residue.mask("/a/b 404") == []
+    assert residue.simhash([]) == 0 and residue.mask("/a/b 404") == ["@", "#"]
+    assert residue.mask("Chyba 404: adresa Abc Def /x neexistuje. Skúste JavaScript.") == "chyba # adresa @ neexistuje skúste javascript".split()
 
 
 @pytest.mark.parametrize("block", [4, 512])
