@@ -70,17 +70,17 @@ def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return sitelines.repeated_blocks(table(spark, d, "crawled_pages"))
+    return sitelines.repeated_lines(table(spark, d, "crawled_pages"))
 
 
 def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Lines within repeated blocks of two lines or more."""
-    return sitelines.repeated_blocks(table(spark, d, "crawled_pages"), shared=2)
+    """The maximal repeated blocks."""
+    return sitelines.repeated_blocks(table(spark, d, "crawled_pages"))
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "crawled_pages")
-    return sitelines.without_repeated(pages, sitelines.repeated_blocks(pages))
+    return sitelines.without_repeated(pages, sitelines.repeated_lines(pages))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,131 +1,115 @@
-"""Problem 7: lines repeated across the pages of one site, by sorted suffixes of line identifiers."""
+"""Problem 7: blocks of lines repeated across the pages of one site, by suffixes of line identifiers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import has_text, site_of
-
-#: What the scan says of a row: part of a block, not known before the neighbouring task is seen, or a block that is one for certain.
-FOUND, OPEN, SURE = 2, 1, 3
+from glosswork.session import cut, written
 
 
-def suffixes(pages: DataFrame, depth: int) -> DataFrame:
-    """(site, k1 .. k<depth>, check, page_id, lines): one row per lettered line, with the identifiers of the lines after it.
+def suffixes(pages: DataFrame) -> DataFrame:
+    """(doc, page_id, site, i, line, name): where each suffix of each page's lettered lines begins, with the identifier of its first line.
 
-    A line's identifier is a hash of its letters in lower case, together with 32 check
-    bits of another hash for the first line; the hash of the site leads the key, so the
-    suffixes of a source lie together once sorted. Lines without letters are skipped, and
-    identifiers beyond the end of a page are null. ``lines`` holds the line numbers that the key covers.
+    A line's identifier is a hash of its letters in lower case; i counts the lettered lines of the page, ``line`` all of
+    them; site is a hash of the host; doc tells rows with one page_id apart. Written once, as the texts are dear to read.
     """
-    kept = pages.select("page_id", F.col("article_text").alias("body"), site_of(F.col("url")).alias("host")).where(F.col("host").isNotNull() & has_text(F.col("body")))
+    kept = pages.select("page_id", F.col("article_text").alias("body"), site_of(F.col("url")).alias("host")).where(F.col("page_id").isNotNull() & F.col("host").isNotNull() & has_text(F.col("body")))
     letters = F.transform(F.split("body", "\n"), lambda line, i: F.struct((i + 1).alias("line"), F.lower(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("own")))
-    hashed = F.transform(F.filter(letters, lambda x: x["own"] != ""), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["own"]).alias("key"), F.hash(x["own"]).alias("check")))
-    rows = kept.select("page_id", F.xxhash64("host").alias("site"), hashed.alias("all"))
-    at = rows.select("page_id", "site", "all", F.posexplode("all").alias("i", "x"))
-    keys = [F.col("x")["key"].alias("k1"), *(F.get("all", F.col("i") + j)["key"].alias(f"k{j + 1}") for j in range(1, depth))]
-    return at.select("site", *keys, F.col("x")["check"].alias("check"), "page_id", *(F.get("all", F.col("i") + j)["line"].alias(f"line{j + 1}") for j in range(depth)))
+    named = F.transform(F.filter(letters, lambda x: x["own"] != ""), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["own"]).alias("name")))
+    rows = kept.select(F.monotonically_increasing_id().alias("doc"), "page_id", F.xxhash64("host").alias("site"), named.alias("all"))
+    return written(rows.select("doc", "page_id", "site", F.posexplode("all").alias("i", "x")).select("doc", "page_id", "site", "i", "x.line", "x.name"))
+
 
+def _on_many_pages(rows: DataFrame, keys: list[str], least_pages: int) -> DataFrame:
+    """The keys that occur on ``least_pages`` different pages; both steps aggregate before they shuffle, so a hot key costs no more than others."""
+    return rows.select(*keys, "page_id").distinct().groupBy(*keys).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages).drop("pages")
 
-def _scan(shared: int, least_pages: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scan of sorted suffixes: runs whose common prefix has ``shared`` lines or more, over ``least_pages`` pages.
 
-    A run at the border of the task may go on in another, so its rows come out OPEN
-    unless the run holds pages enough here; then one SURE row tells the other side.
+def _longest(docs: DataFrame, least_pages: int) -> DataFrame:
+    """``docs`` with ``length``: for each suffix, how many of its first lines occur as one block on ``least_pages`` pages of the site.
+
+    The common prefixes are found by doubling: a block that is repeated has all its prefixes repeated, so the length is built
+    from the largest power of two down, each round asking of every suffix whether its prefix, longer by that power, is still on
+    pages enough. It is if so many pages ask for it in this round, or if it begins a block that an earlier round found repeated; of
+    these, each content is taken once however many pages have it. The rounds are as many as the logarithm of the longest run of repeated lines.
     """
-    names = ["site", *(f"k{j + 1}" for j in range(shared)), "check"]
-
-    def rows(part: dict[str, np.ndarray], state: int) -> pa.RecordBatch:
-        n = len(part["page_id"])
-        return pa.RecordBatch.from_arrays([*(pa.array(part[c]) for c in ("site", "run", "page_id")), *(pa.array(part[f"line{j + 1}"]) for j in range(shared)), pa.array(np.full(n, state, np.int8))], names=["site", "run", "page_id", *(f"line{j + 1}" for j in range(shared)), "state"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        sure: tuple | None = None
-        first: tuple | None = None
-        columns = ["site", "run", "page_id", *(f"line{j + 1}" for j in range(shared)), *names[1:]]
-        for batch in batches:
-            table = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in dict.fromkeys([*names, "run", "page_id", *(f"line{j + 1}" for j in range(shared))])}
-            table = {c: table[c] for c in dict.fromkeys(columns)}
-            if held is not None:
-                table = {c: np.concatenate([held[c], table[c]]) for c in table}
-                held = None
-            size = len(table["page_id"])
-            if not size:
-                continue
-            change = np.zeros(size, bool)
-            change[0] = True
-            for c in names:
-                change[1:] |= table[c][1:] != table[c][:-1]
-            run = np.cumsum(change) - 1
-            starts = np.flatnonzero(change)
-            order = np.lexsort((table["page_id"], run))
-            page, own = table["page_id"][order], run[order]
-            new = np.ones(size, bool)
-            new[1:] = (page[1:] != page[:-1]) | (own[1:] != own[:-1])
-            distinct = np.bincount(own[new], minlength=len(starts))
-            enough = distinct >= least_pages
-            key = lambda k: tuple(table[c][starts[k]] for c in names)
-            if first is None:
-                first = key(0)
-            if sure is not None and key(0) == sure:
-                enough[0] = True
-            last = len(starts) - 1
-            take = enough[run]
-            if take.any():
-                yield rows({c: x[take] for c, x in table.items()}, FOUND)
-            for k in {0, last}:
-                if enough[k] and (k == last or key(k) == first) and key(k) != sure:
-                    yield rows({c: x[starts[k] : starts[k] + 1] for c, x in table.items()}, SURE)
-            if not enough[0] and last > 0 and key(0) == first:
-                yield rows({c: x[run == 0] for c, x in table.items()}, OPEN)
-            if enough[last]:
-                sure = key(last)
-            else:
-                held = {c: x[run == last] for c, x in table.items()}
-        if held is not None:
-            yield rows(held, OPEN)
-
-    return scan
-
-
-def repeated_blocks(pages: DataFrame, least_pages: int = 8, shared: int = 1, depth: int = 4) -> DataFrame:
-    """(page_id, line_no): the lines in blocks that occur on ``least_pages`` or more pages of their site.
-
-    The suffixes of the line sequences of each site are sorted by ranges (to ``depth``
-    lines, beyond which the order does not matter here), and blocks of ``shared`` lines are
-    runs of suffixes with a common prefix of at least that length. Longer blocks are
-    covered by the blocks of ``shared`` lines that they consist of, so deleting the rows
-    found deletes them whole. A line that fills a third of a site is cut over several
-    tasks; only runs that touch the border of a task and are short there are counted again.
+    size = F.size("name")
+    runs = F.aggregate("i", F.struct(F.lit(-2).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("most")), _run_step)["most"]
+    most = docs.agg(F.max(runs)).first()[0] or 0
+    docs = docs.withColumn("length", F.transform("name", lambda _: F.lit(1)))
+    step = 1
+    while 2 * step < most:
+        step *= 2
+    while step and most > 1:
+        tried = F.transform(
+            F.sequence(F.lit(0), size - 1),
+            lambda p: F.struct(p.alias("p"), (F.get("length", p) + F.lit(step)).alias("longer")),  # noqa: B023
+        )
+        fits = F.filter(tried, lambda x: F.get("i", x["p"] + x["longer"] - 1) - F.get("i", x["p"]) == x["longer"] - 1)
+        asked = docs.select("doc", "page_id", "site", F.explode(F.transform(fits, lambda x: F.struct(x["p"].alias("p"), x["longer"].alias("longer"), F.xxhash64(F.slice("name", x["p"] + 1, x["longer"])).alias("block")))).alias("x"))
+        asked = asked.select("doc", "page_id", "site", "x.*")
+        good = _on_many_pages(asked, ["site", "longer", "block"], least_pages).union(_beginnings(docs, step))
+        hits = asked.join(good, ["site", "longer", "block"], "left_semi").groupBy("doc").agg(F.collect_set("p").alias("hits"))
+        grown = F.transform("length", lambda n, p: n + F.when(F.coalesce(F.array_contains("hits", p), F.lit(False)), step).otherwise(0))  # noqa: B023
+        docs = cut(docs.join(hits, "doc", "left").withColumn("length", grown).drop("hits"))
+        step //= 2
+    return docs
+
+
+def _beginnings(docs: DataFrame, step: int) -> DataFrame:
+    """(site, longer, block): the beginnings, of the lengths that are asked for in the round of ``step``, of the blocks found so far."""
+    parts = F.transform("length", lambda n, p: F.struct(n.alias("length"), F.slice("name", p + 1, n).alias("names")))
+    found = docs.select("site", F.explode(F.filter(parts, lambda x: x["length"] > step)).alias("x"))
+    contents = found.groupBy("site", "x.length", F.xxhash64("x.names").alias("block")).agg(F.first("x.names").alias("names"))
+    begun = contents.select("site", "names", F.explode(F.sequence(F.lit(1 + step), F.col("length"), F.lit(2 * step))).alias("longer"))
+    return begun.select("site", "longer", F.xxhash64(F.slice("names", F.lit(1), F.col("longer"))).alias("block")).distinct()
+
+
+def _run_step(state: Column, at: Column) -> Column:
+    run = F.when(at == state["at"] + 1, state["run"] + 1).otherwise(1)
+    return F.struct(at.alias("at"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+
+def _measured(pages: DataFrame, least_pages: int) -> DataFrame:
+    """(doc, page_id, site, i, line, name, length): arrays over the suffixes of a page that begin with a repeated line."""
+    rows = suffixes(pages)
+    often = _on_many_pages(rows, ["site", "name"], least_pages)
+    begins = rows.join(often, ["site", "name"], "left_semi")
+    sorted_ = F.sort_array(F.collect_list(F.struct("i", "line", "name")))
+    docs = begins.groupBy("doc", "page_id", "site").agg(sorted_.alias("all")).select("doc", "page_id", "site", F.col("all.i").alias("i"), F.col("all.line").alias("line"), F.col("all.name").alias("name"))
+    return _longest(cut(docs), least_pages)
+
+
+def _maximal() -> Column:
+    """(first, length, lines) of the blocks of a page that are not part of a longer one that begins a line before."""
+    part = lambda p: F.get("length", p)
+    every = F.transform(F.sequence(F.lit(0), F.size("name") - 1), lambda p: F.struct(F.get("line", p).alias("first"), part(p).alias("length"), F.slice("line", p + 1, part(p)).alias("lines"), p.alias("p")))
+    return F.filter(every, lambda x: (x["p"] == 0) | (F.get("i", x["p"] - 1) != F.get("i", x["p"]) - 1) | (part(x["p"] - 1) <= x["length"]))
+
+
+def repeated_blocks(pages: DataFrame, least_pages: int = 8, least_lines: int = 1) -> DataFrame:
+    """(page_id, first, length): the maximal blocks of ``least_lines`` or more lines that occur on ``least_pages`` or more pages of their site.
+
+    Every suffix of the line sequences of a site gets the length of its longest prefix that is repeated often enough; of
+    these blocks, those that begin one line later within a longer one are left out. Lines without a repeated
+    line around them are dropped before anything is compared at length, as no block can hold them. Blocks are equal
+    if the 64-bit hashes of their lines are.
 
     Lines are equal by their letters in lower case, in order; lines without letters are
-    skipped. Numbers count from 1 over all pieces between line feeds. Pages without url or
-    text give no rows; a page counts once however often it repeats a line. An empty table gives no rows.
+    skipped and do not part a block. ``first`` counts from 1 over all pieces between line feeds. Pages without url, page_id or
+    text give no rows; a page counts once however often it repeats a line; repeated rows come out each. An empty table gives no rows.
     """
-    depth = max(depth, shared)
-    keys = ["site", *(f"k{j + 1}" for j in range(depth))]
-    built = suffixes(pages, depth)
-    if shared > 1:
-        built = built.where(F.col(f"k{shared}").isNotNull())
-    order = ["site", "k1", "check", *keys[2:], "page_id", "line1"]
-    lines = [f"line{j + 1}" for j in range(shared)]
-    ordered = built.select(*(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in keys), "check", "page_id", *lines).repartitionByRange(*order).sortWithinPartitions(*order)
-    ready = ordered.select("site", *keys[1 : shared + 1], "check", "page_id", *lines, F.xxhash64(*keys[1 : shared + 1], "check").alias("run"))
-    schema = "site bigint, run bigint, page_id bigint, " + "".join(f"{x} int, " for x in lines) + "state tinyint"
-    scanned = ready.mapInArrow(_scan(shared, least_pages), schema)
-    doubt = scanned.where(F.col("state") != FOUND)
-    settled = doubt.groupBy("site", "run").agg(F.max("state").alias("most"), F.countDistinct("page_id").alias("n")).where((F.col("most") == SURE) | (F.col("n") >= least_pages)).select("site", "run")
-    more = doubt.where(F.col("state") == OPEN).join(settled, ["site", "run"], "left_semi")
-    found = scanned.where(F.col("state") == FOUND).unionByName(more)
-    if shared == 1:
-        return found.select("page_id", F.col("line1").alias("line_no"))
-    return found.select("page_id", F.explode(F.array(*lines)).alias("line_no")).distinct()
+    found = _measured(pages, least_pages).select("page_id", F.explode(_maximal()).alias("b"))
+    return found.select("page_id", "b.first", "b.length").where(F.col("length") >= least_lines)
+
+
+def repeated_lines(pages: DataFrame, least_pages: int = 8, least_lines: int = 1) -> DataFrame:
+    """(page_id, line_no): the lines of ``repeated_blocks``, each once per row of ``pages``."""
+    blocks = F.filter(_maximal(), lambda b: b["length"] >= least_lines)
+    lines = F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["lines"])))
+    return _measured(pages, least_pages).select("page_id", F.explode(lines).alias("line_no"))
 
 
 def without_repeated(pages: DataFrame, found: DataFrame) -> DataFrame:

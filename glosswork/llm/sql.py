@@ -66,8 +66,15 @@ select page_id_a, page_id_b from overlap join n a on a.page_id = page_id_a join
 }
 
 _LINES = SQL["p7_found"].rpartition("often as")[0]
-_PAIRS = """lettered as (select *, lead(own) over (partition by page_id order by line_no) as own2, lead(line_no) over (partition by page_id order by line_no) as line2 from keyed where own <> ''),
-often as (select site, own, own2 from lettered where own2 is not null group by 1, 2, 3 having count(distinct page_id) >= 8), blocks as (select page_id, line_no, line2 from lettered semi join often using (site, own, own2))"""
-SQL["p7_blocks"] = _LINES + _PAIRS + " select page_id, line_no::int as line_no from blocks union select page_id, line2::int from blocks"
+SQL["p7_blocks"] = (
+    _LINES
+    + """lettered as (select page_id, site, list(own order by line_no) as own, list(line_no order by line_no) as nos from keyed where own <> '' group by 1, 2),
+starts as (select page_id, site, own, nos, unnest(range(1, len(own) + 1)) as p from lettered),
+parts as (select page_id, site, nos, p, n, list_slice(own, p, p + n - 1) as block from (select *, unnest(range(1, len(own) - p + 2)) as n from starts)),
+often as (select site, block from parts group by 1, 2 having count(distinct page_id) >= 8),
+longest as (select page_id, p, any_value(nos)[p] as first, max(n) as length from parts semi join often using (site, block) group by 1, 2),
+placed as (select *, lag(p) over w as before, lag(length) over w as length_before from longest window w as (partition by page_id order by p))
+select page_id, first::int as first, length::int as length from placed where before is null or before <> p - 1 or length_before <= length"""
+)
 SQL["p7_clean"] = f"""with found as ({SQL["p7_found"]}), gone as (select page_id, list(distinct line_no) as g from found group by 1)
 select page_id, case when g is null then article_text else array_to_string([x for x, i in string_split(article_text, chr(10)) if not list_contains(g, i)], chr(10)) end as article_text, coalesce(len(g), 0)::int as removed from crawled_pages left join gone using (page_id)"""

@@ -208,18 +208,47 @@ def test_site_lines_against_brute_force(spark, batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = sorted(tuple(r) for r in sitelines.repeated_blocks(_pages(spark, rows).repartition(5)).collect())
+        got = sorted(tuple(r) for r in sitelines.repeated_lines(_pages(spark, rows).repartition(5)).collect())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == _often(rows, 8) and len(got) > 300
 
 
+def _blocks(rows, least):
+    """Maximal blocks by trying all of them."""
+    pages, seen = {}, defaultdict(set)
+    for page, url, _, text in rows:
+        lines = [(k, "".join(c for c in x.lower() if c.isalpha())) for k, x in enumerate(text.split("\n"), 1)]
+        pages[page] = (url, [x for x in lines if x[1]])
+    for page, (url, lines) in pages.items():
+        for i in range(len(lines)):
+            for n in range(1, len(lines) - i + 1):
+                seen[url, tuple(x for _, x in lines[i : i + n])].add(page)
+    out = []
+    for page, (url, lines) in pages.items():
+        length = [max([n for n in range(1, len(lines) - i + 1) if len(seen[url, tuple(x for _, x in lines[i : i + n])]) >= least], default=0) for i in range(len(lines))]
+        out += [(page, lines[i][0], n) for i, n in enumerate(length) if n and (i == 0 or length[i - 1] <= n)]
+    return sorted(out)
+
+
+def test_site_blocks_against_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["a\nb\nc\nd\ne", "b\nc", "c\nd\ne\nf\ng\nh\ni\nj\nk", "x\n\n1\ny", "e", "a\na\na\na"]
+    rows = []
+    for page in range(120):
+        lines = [rng.choice([*parts, f"own {chr(97 + page % 26)}{chr(97 + page // 26)}"]) for _ in range(rng.randrange(1, 6))]
+        rows.append((page, f"https://s{page % 3}.example", None, "\n".join(lines)))
+    got = sorted(tuple(r) for r in sitelines.repeated_blocks(_pages(spark, rows)).collect())
+    assert got == _blocks(rows, 8) and max(n for *_, n in got) >= 9 and len(got) > 200
+
+
 def test_site_blocks_and_removal(spark):
-    rows = [(k, "https://s.example", None, f"Top {chr(97 + k)}\nFirst line\n\nSecond line\nown {chr(97 + k)}\nFirst line") for k in range(9)] + [(50, "https://s.example", None, None)]
+    rows = [(k, "https://s.example", None, f"Top {chr(97 + k)}\nFirst line\n\nSecond line\nown {chr(97 + k)}\nFirst line") for k in range(9)] + [(50, "https://s.example", None, None), (51, None, None, "First line"), (None, "https://s.example", None, "First line")]
     pages = _pages(spark, rows)
-    pairs = sitelines.repeated_blocks(pages, shared=2)
-    assert {tuple(r) for r in pairs.collect()} == {(k, n) for k in range(9) for n in (2, 4)}
+    assert {tuple(r) for r in sitelines.repeated_blocks(pages).collect()} == {(k, *b) for k in range(9) for b in ((2, 2), (6, 1))}
+    pairs = sitelines.repeated_lines(pages, least_lines=2)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(k, n) for k in range(9) for n in (2, 4)]
     cleaned = {r["page_id"]: (r["article_text"], r["removed"]) for r in sitelines.without_repeated(pages, pairs).collect()}
     assert cleaned[0] == ("Top a\n\nown a\nFirst line", 2) and cleaned[50] == (None, 0)
     assert sitelines.repeated_blocks(_pages(spark, [])).count() == 0
