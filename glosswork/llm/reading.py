@@ -4,34 +4,48 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.sample import least_hashes
-from glosswork.session import cut
-
-#: Bound on the labelled documents that the model is fitted on, and on the words that it holds.
-MOST_DOCUMENTS, MOST_WORDS = 50_000, 200_000
-#: Labelled documents that must hold a word, rounds of the alternation, slope of the logistic curve.
-LEAST_DOCUMENTS, ROUNDS, SLOPE = 3, 3, 4.0
+from glosswork.session import cut, written
+
+#: Bound on the labelled documents that the model is fitted on.
+MOST_DOCUMENTS = 50_000
+#: Words up to which the fitted ones are sent to every worker (16 bytes each); more are joined by word.
+BROADCAST_WORDS = 2_000_000
+#: Labelled documents that must hold a word; most rounds, and the mean move of a level at which they end.
+LEAST_DOCUMENTS, ROUNDS, SETTLED = 3, 8, 0.01
+#: Precision of a label, in units of that of the words of its document.
+TRUST = 10.0
+#: Priors of a word: precision of its difficulty around 0, and of the logarithm of its sharpness around that of ``SHARP``; bounds of the sharpness.
+PULL, PULL_SHARP, SHARP, LEAST_SHARP, MOST_SHARP = 1.0, 0.5, 2.0, 0.2, 40.0
 #: A document is measured from so many runs of letters.
 LEAST_RUNS = 40
 
 _RUNS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"\W?\W?[^\W\d_]+(?:['’\-][^\W\d_]+)*\W{0,3}")
+_SEED = 42  # that of the hash function of columns
 
 
 @dataclass(frozen=True)
 class Model:
-    """Difficulty and weight of each word, on the scale of the levels less 2; the two cuts between the levels."""
+    """Hash, difficulty and sharpness of each word in the order of the hash; the two cuts between the levels less 2; the words as a table."""
+
+    keys: np.ndarray
+    difficulty: np.ndarray
+    sharpness: np.ndarray
+    low: float = -0.5
+    high: float = 0.5
+    table: DataFrame | None = field(default=None, compare=False)
 
-    words: dict[str, tuple[float, float]]
-    low: float
-    high: float
+    def __len__(self) -> int:
+        return len(self.keys)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
@@ -46,53 +60,82 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) ->
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
+def _terms(rows: DataFrame) -> DataFrame:
+    """The runs of letters of each text, a row for each: ``rows`` without text, word, key."""
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    exploded = rows.select(*(c for c in rows.columns if c != "text"), F.explode(runs).alias("word"))
+    return exploded.withColumn("key", F.xxhash64("word"))
+
+
 def difficulties(sample: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(word, difficulty, weight), fitted by alternating between words and documents.
-
-    Each occurrence of a word is an item of a test: at the level t of a document and the
-    difficulty b of the word, its chance to lie below the document's level is
-    1 / (1 + exp(-slope * (t - b))). With the levels held fast, a word's difficulty is the shrunk mean
-    level of its documents and its weight falls with their spread, so words that are met at
-    all levels say little; with the words held fast, each document takes a Newton step to the level at which
-    its words balance, drawn half-way back to its label. Both steps are partial
-    aggregates over (document, word) rows. The levels (one row per document of the bounded
-    sample) are broadcast.
+    """(key, word, docs, difficulty, sharpness), fitted by alternating between words and documents.
+
+    The model: the level t of a document that holds a word has the density a * p * (1 - p) with p = 1 / (1 + exp(-a * (t - b))), b
+    the word's difficulty and a its sharpness, as if every word were an item of a test that a reader of level t passes with chance p,
+    and the document stood where passing and failing are balanced. The product over all
+    occurrences of words, with normal priors of b and log a, and the label as a normal prior of t
+    (of ``TRUST`` times the precision that the document's words have at first), is one likelihood. Words and documents take Newton steps on it in turn, each step a partial
+    aggregate over the pairs, until the levels move by less than ``SETTLED`` on average or ``rounds`` are over.
+    A word met at all levels gets a small sharpness and says little. The levels (one row per document of the bounded sample) are broadcast,
+    the words if they are few enough.
     """
-    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    rows = sample.select("doc_id", "level", F.explode(runs).alias("word")).groupBy("doc_id", "level", "word").agg(F.count("*").alias("n"))
-    rows = cut(rows.withColumn("level", F.col("level") - 2))
-    levels = rows.select("doc_id", "level").distinct().select("doc_id", "level", F.col("level").alias("t"))
-    words = None
+    pairs = _terms(sample).groupBy("doc_id", "level", "key").agg(F.min("word").alias("word"), F.count("*").alias("n"))
+    pairs = written(pairs.withColumn("level", F.col("level") - 2))
+    t, n, b, a = F.col("t"), F.col("n"), F.col("difficulty"), F.col("sharpness")
+    first = pairs.groupBy("key").agg(F.min("word").alias("word"), F.count("*").alias("docs"), F.sum("level").alias("sum"), F.sum(F.col("level") * F.col("level")).alias("square")).where(F.col("docs") >= LEAST_DOCUMENTS)
+    mean = F.col("sum") / F.col("docs")
+    spread = F.greatest(F.col("square") / F.col("docs") - mean * mean, F.lit(0.0))
+    words = cut(first.select("key", "word", "docs", (F.col("sum") / (F.col("docs") + 1)).alias("difficulty"), F.least(F.greatest(1.8 / F.sqrt(spread + 0.1 + 1 / F.col("docs")), F.lit(LEAST_SHARP)), F.lit(MOST_SHARP)).alias("sharpness")))
+    few = words.count() <= BROADCAST_WORDS
+    sent = lambda w: F.broadcast(w.select("key", "difficulty", "sharpness")) if few else w.select("key", "difficulty", "sharpness")
+    items = pairs.select("doc_id", "key", "n")
+    levels = pairs.select("doc_id", "level").distinct().select("doc_id", "level", F.col("level").alias("t"), F.lit(None).cast("double").alias("label"))
+    p = 1 / (1 + F.exp(-a * (t - b)))
+    z = a * (t - b)
     for left in range(rounds, 0, -1):
-        met = rows.drop("level").join(F.broadcast(levels), "doc_id")
-        spread = F.greatest(F.avg(F.col("t") * F.col("t")) - F.avg("t") * F.avg("t"), F.lit(0.0))
-        words = met.groupBy("word").agg(F.count("*").alias("docs"), F.avg("t").alias("mean"), spread.alias("spread")).where(F.col("docs") >= LEAST_DOCUMENTS)
-        words = cut(words.select("word", "docs", (F.col("mean") * F.col("docs") / (F.col("docs") + 1)).alias("difficulty"), (F.col("docs") / (F.col("docs") + 3) / (F.col("spread") + 0.05)).alias("weight")))
-        if left > 1:
-            pull = 1 / (1 + F.exp(-SLOPE * (F.col("t") - F.col("difficulty"))))
-            seen = F.col("weight") * F.col("n")
-            step = F.sum(seen * (pull - 0.5)) / F.sum(seen * SLOPE * pull * (1 - pull) + 1e-9)
-            moved = met.join(words, "word").groupBy("doc_id", "level", "t").agg(step.alias("step"))
-            new = F.col("t") - F.greatest(F.least("step", F.lit(0.5)), F.lit(-0.5))
-            levels = cut(moved.select("doc_id", "level", (0.5 * F.col("level") + 0.5 * F.greatest(F.least(new, F.lit(1.5)), F.lit(-1.5))).alias("t")))
+        met = items.join(F.broadcast(levels), "doc_id").join(sent(words), "key")
+        # documents: slope and bend of the likelihood in t; the label's precision is set in the first round
+        slope, bend = F.sum(-n * a * (2 * p - 1)), F.sum(n * a * a * 2 * p * (1 - p))
+        moved = met.groupBy("doc_id", "level", "t", "label").agg(slope.alias("slope"), bend.alias("bend")).withColumn("label", F.coalesce("label", F.col("bend") * TRUST))
+        step = (F.col("slope") - F.col("label") * (t - F.col("level"))) / (F.col("bend") + F.col("label") + 1e-9)
+        levels = cut(moved.select("doc_id", "level", (t + F.greatest(F.least(step, F.lit(0.5)), F.lit(-0.5))).alias("t"), "label", F.abs(step).alias("step")))
+        far = levels.agg(F.coalesce(F.avg("step"), F.lit(0.0))).first()[0]
+        levels = levels.drop("step")
+        # words: the same in b and log a
+        met = items.join(F.broadcast(levels), "doc_id").join(sent(words), "key")
+        sums = met.groupBy("key").agg(F.sum(n * a * (2 * p - 1)).alias("gb"), F.sum(n * a * a * 2 * p * (1 - p)).alias("hb"), F.sum(n * (1 - z * (2 * p - 1))).alias("ga"), F.sum(n * (z * (2 * p - 1) + 2 * z * z * p * (1 - p))).alias("ha"))
+        db = (F.col("gb") - PULL * b) / (F.col("hb") + PULL)
+        da = (F.col("ga") - PULL_SHARP * F.log(a / SHARP)) / (F.col("ha") + PULL_SHARP)
+        bounded = lambda x: F.greatest(F.least(x, F.lit(0.5)), F.lit(-0.5))
+        words = cut(words.join(sums, "key").select("key", "word", "docs", (b + bounded(db)).alias("difficulty"), F.least(F.greatest(a * F.exp(bounded(da)), F.lit(LEAST_SHARP)), F.lit(MOST_SHARP)).alias("sharpness")))
+        if far < SETTLED:
+            break
     return words
 
 
-def balance(runs: list[str], words: dict[str, tuple[float, float]]) -> float | None:
-    """The level at which the words of a text balance: a smooth median of their difficulties. None if no word is known."""
-    known = [x for x in map(words.get, runs) if x is not None]
-    if not known:
-        return None
-    table = np.array(known)
-    b, q = table[:, 0], table[:, 1]
-    low, high, half = -2.0, 2.0, q.sum() / 2
-    for _ in range(14):
-        middle = (low + high) / 2
-        if (q / (1 + np.exp(-SLOPE * (middle - b)))).sum() < half:
-            low = middle
-        else:
-            high = middle
-    return (low + high) / 2
+def balance(difficulty: np.ndarray, sharpness: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The most likely level of each of ``n`` texts, for all at once; nan for a text without words.
+
+    The arrays have an element for each word; ``text`` tells whose it is. The likelihood of a level is concave, so the sign of its slope
+    brackets the greatest; Newton steps that leave the bracket, and every third one, are halvings of it instead.
+    """
+    known = np.bincount(text, minlength=n) > 0
+    if not len(text):
+        return np.full(n, np.nan)
+    weight = np.where(known, np.bincount(text, sharpness, n), 1)
+    t = np.bincount(text, sharpness * difficulty, n) / weight
+    low, high = np.full(n, float(difficulty.min())), np.full(n, float(difficulty.max()))
+    for k in range(60):
+        p = 1 / (1 + np.exp(np.clip(-sharpness * (t[text] - difficulty), -60, 60)))
+        slope = np.bincount(text, sharpness * (1 - 2 * p), n)
+        bend = np.bincount(text, sharpness**2 * 2 * p * (1 - p), n)
+        low, high = np.where(slope > 0, t, low), np.where(slope <= 0, t, high)
+        new = t + slope / np.maximum(bend, 1e-12)
+        new = np.where((new <= low) | (new >= high) | (k % 3 == 2), (low + high) / 2, new)
+        moved, t = np.abs(np.where(known & (np.abs(slope) > 1e-9 * weight), new - t, 0)).max(), new
+        if moved < 1e-4:
+            break
+    return np.where(known, t, np.nan)
 
 
 def is_prose(text: str) -> bool:
@@ -101,31 +144,71 @@ def is_prose(text: str) -> bool:
     return 2 * sum(1 for x in pieces if _PLAIN.fullmatch(x)) > len(pieces)
 
 
-def _score(words: dict[str, tuple[float, float]], text: str | None) -> float | None:
-    runs = [x.lower() for x in _RUNS.findall(text)] if text else []
-    return balance(runs, words) if len(runs) >= LEAST_RUNS and is_prose(text) else None
+def _wanted(text: str | None) -> list[str] | None:
+    """The runs of letters of a text that is measured, else None."""
+    runs = _RUNS.findall(text.lower()) if text else []
+    return runs if len(runs) >= LEAST_RUNS and is_prose(text) else None
 
 
 def _scores(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        keys, difficulty, sharpness = shared.value
+        place: dict[str, int] = {}
         for batch in batches:
-            scores = [_score(words, x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            at, text = [], []
+            for k, body in enumerate(batch.column(1).to_pylist()):
+                found = []
+                for w in _wanted(body) or ():
+                    i = place.get(w)
+                    if i is None:
+                        if len(place) > 400_000:
+                            place.clear()
+                        h = np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), _SEED)).astype(np.int64)
+                        i = int(np.searchsorted(keys, h)) if len(keys) else 0
+                        i = place[w] = i if i < len(keys) and keys[i] == h else -1
+                    if i >= 0:
+                        found.append(i)
+                at.extend(found)
+                text.extend([k] * len(found))
+            at, text = np.array(at, np.int64), np.array(text, np.int64)
+            t = balance(difficulty[at], sharpness[at], text, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.float64(), mask=np.isnan(t))], names=["doc_id", "score"])
 
     return run
 
 
-def scores(docs: DataFrame, words: dict[str, tuple[float, float]]) -> DataFrame:
-    """(doc_id, score) of every document; null where it is too short, no prose, or has no known word. A map over the scan."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    return docs.select("doc_id", "text").mapInArrow(_scores(shared), "doc_id bigint, score double")
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        flat, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        b, a = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        t = balance(b, a, np.repeat(np.arange(batch.num_rows), ends), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.float64(), mask=np.isnan(t))], names=["row", "score"])
+
+
+def _prose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x if _wanted(x) else None for x in batch.column(2).to_pylist()], pa.string())], names=["row", "doc_id", "text"])
+
+
+def scores(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """(doc_id, score) of every document; null where it is too short, no prose, or has no known word.
+
+    A map over the scan with the words sent along; a model of more than ``broadcast_words`` is joined by word instead.
+    """
+    if len(model) <= broadcast_words:
+        shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.difficulty, model.sharpness))
+        return docs.select("doc_id", "text").mapInArrow(_scores(shared), "doc_id bigint, score double")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_prose, "row bigint, doc_id bigint, text string"))
+    words = _terms(rows.select("row", "text")).select("row", "key")
+    met = words.join(model.table.select("key", "difficulty", "sharpness"), "key").groupBy("row").agg(F.collect_list(F.struct("difficulty", "sharpness")).alias("words"))
+    return rows.select("row", "doc_id").join(met.mapInArrow(_solve, "row bigint, score double"), "row", "left").select("doc_id", "score")
 
 
 def cuts(score: np.ndarray, level: np.ndarray) -> tuple[float, float]:
     """The two cuts between neighbouring scores that agree best with the labels; in a tie the middle one."""
     if not len(score):
-        return -0.3, 0.3
+        return -0.5, 0.5
     order = np.argsort(score, kind="stable")
     score, level = score[order], level[order]
     between = np.concatenate(([score[0] - 0.01], (score[1:] + score[:-1]) / 2, [score[-1] + 0.01]))
@@ -138,26 +221,27 @@ def cuts(score: np.ndarray, level: np.ndarray) -> tuple[float, float]:
     return low, max(low, high)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, most_words: int = MOST_WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, rounds: int = ROUNDS) -> Model:
     """The model of the labelled documents. Without valid labels it knows no words.
 
-    At most ``most_words`` words (those in most documents) and one score per document of the
-    bounded sample reach the driver.
+    Three numbers for each word and two for each document of the bounded sample reach the driver.
     """
     sample = labelled(docs, labels, most)
-    table = difficulties(sample).orderBy(F.desc("docs"), "word").limit(most_words).select("word", "difficulty", "weight").collect()
-    words = {r["word"]: (r["difficulty"], r["weight"]) for r in table}
+    words = difficulties(sample, rounds)
+    table = words.select("key", "difficulty", "sharpness").toPandas().sort_values("key")
+    model = Model(table["key"].to_numpy(np.int64), table["difficulty"].to_numpy(np.float32), table["sharpness"].to_numpy(np.float32), table=words)
     levels = sample.select("doc_id", "level").distinct()
-    scored = scores(sample.select("doc_id", "text"), words).where("score is not null").join(levels, "doc_id").select("score", "level").toPandas()
-    return Model(words, *cuts(scored["score"].to_numpy(float), scored["level"].to_numpy(float)))
+    scored = scores(sample.select("doc_id", "text"), model).where("score is not null").join(levels, "doc_id").select("score", "level").toPandas()
+    low, high = cuts(scored["score"].to_numpy(float), scored["level"].to_numpy(float))
+    return Model(model.keys, model.difficulty, model.sharpness, low, high, words)
 
 
 def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, level, score): level 1 to 3 of every document with prose of ``LEAST_RUNS`` runs of letters or more.
 
-    Words are weighed over the whole text, so the level is that of the bulk of it. Null, empty
+    All words of the whole text are weighed, so the level is that of the bulk of it. Null, empty
     and short texts, texts that are no prose and texts without a word that the labelled
     documents hold give no row. Language is not asked for: the words tell. Repeated rows come out each.
     """
     level = F.when(F.col("score") < model.low, 1).when(F.col("score") < model.high, 2).otherwise(3)
-    return scores(docs, model.words).where("score is not null").select("doc_id", level.cast("int").alias("level"), "score")
+    return scores(docs, model).where("score is not null").select("doc_id", level.cast("int").alias("level"), "score")

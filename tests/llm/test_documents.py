@@ -3,6 +3,8 @@
 import os
 import random
 
+import numpy as np
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,14 +128,29 @@ def test_reading_levels_of_held_out_documents(spark):
     got = {r["doc_id"]: r["level"] for r in reading.reading_levels(docs, model).collect()}
     assert set(got) == set(truth)
     assert sum(got[k] == truth[k] for k in range(150, 300)) >= 140
+    joined = {r["doc_id"]: r["score"] for r in reading.scores(docs, model, broadcast_words=3).collect()}
+    mapped = {r["doc_id"]: r["score"] for r in reading.scores(docs, model).collect()}
+    assert set(joined) == set(mapped) and all((x is None) == (joined[k] is None) and (x is None or abs(x - joined[k]) < 1e-3) for k, x in mapped.items())
     words = {r["word"]: r["difficulty"] for r in reading.difficulties(reading.labelled(docs, marks)).collect()}
     assert words["dog"] < words["market"] < words["epistemological"]
 
 
+def test_balance_is_the_most_likely_level():
+    rng = np.random.RandomState(3)
+    text = np.sort(rng.randint(0, 20, 400))
+    b, a = rng.uniform(-1.5, 1.5, 400), rng.uniform(0.3, 30, 400)
+    grid = np.linspace(-2, 2, 4001)
+    z = a[:, None] * (grid[None, :] - b[:, None])
+    each = -np.logaddexp(0, z) - np.logaddexp(0, -z)
+    for k, t in enumerate(reading.balance(b, a, text, 20)):
+        assert abs(t - grid[each[text == k].sum(axis=0).argmax()]) < 2e-3
+    assert np.isnan(reading.balance(b[:0], a[:0], text[:0], 2)).all()
+
+
 def test_reading_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c " * 40)], "doc_id bigint, text string")
     model = reading.fit(docs, spark.createDataFrame([], "doc_id bigint, level int"))
-    assert model.words == {} and reading.reading_levels(docs, model).count() == 0
+    assert len(model) == 0 and reading.reading_levels(docs, model).count() == 0
 
 
 def test_bound_on_the_sample(spark):
