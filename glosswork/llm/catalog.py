@@ -54,8 +54,9 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_distinctive(spark: SparkSession, d: str) -> DataFrame:
-    """The terms of each record by likelihood ratio, as the operator ranks them by itself."""
-    return distinctive.top_terms(distinctive.term_scores(table(spark, d, "preprocessed_docs")), by="llr").select("doc_id", "term", "place")
+    """The terms of each record by likelihood ratio to four digits, as the operator ranks them by itself."""
+    scores = distinctive.term_scores(table(spark, d, "preprocessed_docs")).withColumn("llr", F.round("llr", 4))
+    return distinctive.top_terms(scores, by="llr").select("doc_id", "term", "place")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

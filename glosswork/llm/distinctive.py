@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.text import SPACE, is_blank
 from glosswork.llm.latest import latest
+from glosswork.session import written
 
 #: Terms whose statistics are broadcast: the most frequent ones, at most so many rows.
 HOT_TERMS = 20_000
@@ -39,7 +40,7 @@ def _pairs(docs: DataFrame, pipeline: str) -> DataFrame:
 def term_scores(docs: DataFrame, pipeline: str = "baseline", hot_terms: int = HOT_TERMS) -> DataFrame:
     """(doc_id, term, tf, df, cf, length, n, llr, weight) for every term of every counting record.
 
-    One pass counts terms in records; a second aggregates them over the
+    One pass counts terms in records and writes them down; a second aggregates them over the
     collection. The statistics of the ``hot_terms`` most frequent terms (a fixed
     number of rows) are broadcast, so the pairs of common terms never move; the
     others are joined by term, where no term can be hot any more.
@@ -51,7 +52,7 @@ def term_scores(docs: DataFrame, pipeline: str = "baseline", hot_terms: int = HO
     """
     pairs = _pairs(docs, pipeline)
     length = Window.partitionBy("pipeline", "doc_id")
-    pairs = pairs.withColumn("length", F.sum("tf").over(length))
+    pairs = written(pairs.withColumn("length", F.sum("tf").over(length)))
     stats = pairs.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     whole = pairs.groupBy("pipeline", "doc_id").agg(F.sum("tf").alias("tokens")).agg(F.count("*").alias("n"), F.sum("tokens").alias("total"))
     hot = stats.orderBy(F.desc("df"), "term").limit(hot_terms).withColumnRenamed("term", "hot_term")

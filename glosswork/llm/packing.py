@@ -14,6 +14,8 @@ from glosswork.session import cut
 OPEN_BINS = 64
 #: Items that one stream of a container type takes on average; streams run side by side.
 STREAM_ITEMS = 20_000
+#: Equal rows that one task deals out at most.
+COPIES = 100_000
 
 
 class Packer:
@@ -87,10 +89,10 @@ def _pack(open_bins: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
 def pack(sizes: DataFrame, containers: DataFrame, open_bins: int = OPEN_BINS, stream_items: int = STREAM_ITEMS) -> DataFrame:
     """(container_type, capacity, container, doc_id, part, size): every item in a container of each type.
 
-    ``sizes`` holds (doc_id, tokens). Items are dealt by a hash of doc_id to streams of
-    about ``stream_items``, whose number follows the number of items, so the unused space
-    of the bins left open at a stream's end stays a fixed small share at every scale. A
-    stream takes its items in ascending order of (hash, doc_id), which makes the result
+    ``sizes`` holds (doc_id, tokens). Equal rows are counted first; then items are dealt by a hash of (doc_id, tokens, number among equal
+    rows) to streams of about ``stream_items``, whose number follows the number of items, so the unused space
+    of the bins left open at a stream's end stays a fixed small share at every scale, and rows without doc_id or with one that
+    repeats are spread like others. A stream takes its items in ascending order of (hash, doc_id), which makes the result
     the same on every run. Only (doc_id, tokens) moves; it is kept in
     the checkpoint folder first, so that texts are measured once.
 
@@ -100,10 +102,12 @@ def pack(sizes: DataFrame, containers: DataFrame, open_bins: int = OPEN_BINS, st
     types count once. Rows that repeat a doc_id are packed each. Containers are numbered apart for every
     (container_type, capacity).
     """
-    sizes = cut(sizes.select("doc_id", "tokens"))
+    counted = cut(sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).groupBy("doc_id", "tokens").agg(F.count("*").alias("copies")))
     kinds = containers.select("container_type", F.col("capacity").cast("int").alias("capacity")).where("capacity > 0").distinct()
-    streams = sizes.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(stream_items))).cast("bigint").alias("streams"))
-    items = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.xxhash64("doc_id").alias("h"))
+    streams = counted.agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum("copies"), F.lit(0)) / F.lit(stream_items))).cast("bigint").alias("streams"))
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))).alias("from")).repartition("doc_id", "tokens", "from")
+    single = parts.select("doc_id", "tokens", F.explode(F.sequence("from", F.least(F.col("from") + COPIES, "copies") - 1)).alias("copy"))
+    items = single.select("doc_id", "tokens", F.xxhash64("doc_id", "tokens", "copy").alias("h"))
     dealt = items.crossJoin(F.broadcast(streams)).crossJoin(F.broadcast(kinds)).withColumn("stream", F.pmod("h", "streams"))
     keys = ["container_type", "capacity", "stream"]
     ordered = dealt.select(*keys, "h", "doc_id", "tokens").repartition(*keys).sortWithinPartitions(*keys, "h", "doc_id", "tokens").drop("h")

@@ -45,6 +45,7 @@ SQL: dict[str, str] = {
     "p1_vocab": _TERMS + ", listed as (select pipeline, term, max(freq) as stored from vocab where term is not null group by 1, 2) select pipeline, term, stored, coalesce(occurrences, 0) as counted from listed left join counted using (pipeline, term)",
     "p4_found": _CANON + "select * from (select min(page_id) over (partition by u, t) as page_id_a, page_id as page_id_b from canon) where page_id_a <> page_id_b",
     "p5_found": _SCORES + "select doc_id, term from (select doc_id, term, row_number() over (partition by doc_id order by weight desc, term) as place from x where df >= 2) where place <= 3",
+    "p5_distinctive": _SCORES + "select doc_id, term, place::int as place from (select doc_id, term, row_number() over (partition by doc_id order by round(case when a * (b + d) < b * (a + c) then -g else g end, 4) desc, term) as place from x where df >= 2) where place <= 3",
     "p7_found": r"""
 with kept as (
   select page_id, regexp_replace(lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/:?#]+)', 1)), '^www\.', '') as site, string_split(article_text, chr(10)) as lines
@@ -65,6 +66,16 @@ select page_id_a, page_id_b from overlap join n a on a.page_id = page_id_a join
     "p5_scores": _SCORES + "select doc_id, term, tf, df, cf, round(case when a * (b + d) < b * (a + c) then -g else g end, 4) + 0.0 as llr, round(weight, 6) as weight from x",
 }
 
+SQL["p2_groups"] = (
+    SQL["p2_found"].replace("with w as", "with recursive w as")
+    .replace("select page_id_a, page_id_b from overlap", """, links as (select page_id_a as p, page_id_b as q from overlap""")
+    + """), member as (select page_id, w as text from w where len(w) >= 60),
+twoway as (select p, q from links union all select q, p from links),
+reach as (select page_id as p, page_id as q from member union select r.p, b.q from reach r join twoway b on r.q = b.p),
+others as (select b.p, count(distinct m.text) filter (where m.text <> o.text) as links from twoway b join member m on m.page_id = b.q join member o on o.page_id = b.p group by 1)
+select m.page_id, (select min(q) from reach r where r.p = m.page_id) as group_id, coalesce(links, 0) as links from member m left join others on others.p = m.page_id"""
+)
+
 _LINES = SQL["p7_found"].rpartition("often as")[0]
 SQL["p7_blocks"] = (
     _LINES

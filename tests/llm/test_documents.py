@@ -4,7 +4,6 @@ import os
 import random
 
 import numpy as np
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,6 +100,17 @@ def test_packing_is_whole(spark):
     assert packing.pack(docs.where("false"), kinds).count() == 0
 
 
+def test_hot_ids_are_spread_over_streams(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 300)
+    sizes = [(None, 7)] * 1000 + [(5, 9)] * 1000 + [(k, 3) for k in range(100, 1100)]
+    docs = spark.createDataFrame(sizes, "doc_id bigint, tokens bigint")
+    rows = packing.pack(docs, spark.createDataFrame([("s", 64)], "container_type string, capacity int"), stream_items=150).collect()
+    for doc, n in ((None, 1000), (5, 1000)):
+        own = [r["container"] >> 40 for r in rows if r["doc_id"] == doc]
+        assert len(own) == n and len(set(own)) == 20 and max(map(own.count, set(own))) < 100
+    assert len(rows) == 3000
+
+
 EASY = "the dog sees a red ball and the cat has a small hat on the bed near a tree".split()
 PLAIN = "our town council opened another weekend market because visitors expected cheaper tickets during summer".split()
 HARD = "methodological ambiguity determines hierarchical categorisation whereas epistemological uncertainty modifies empirical verifiability".split()
