@@ -125,23 +125,37 @@ def balance(difficulty: np.ndarray, sharpness: np.ndarray, text: np.ndarray, n:
     weight = np.where(known, np.bincount(text, sharpness, n), 1)
     t = np.bincount(text, sharpness * difficulty, n) / weight
     low, high = np.full(n, float(difficulty.min())), np.full(n, float(difficulty.max()))
+    a, b, at = sharpness.astype(float), difficulty.astype(float), text
     for k in range(60):
-        p = 1 / (1 + np.exp(np.clip(-sharpness * (t[text] - difficulty), -60, 60)))
-        slope = np.bincount(text, sharpness * (1 - 2 * p), n)
-        bend = np.bincount(text, sharpness**2 * 2 * p * (1 - p), n)
+        p = 1 / (1 + np.exp(np.clip(-a * (t[at] - b), -60, 60)))
+        slope = np.bincount(at, a * (1 - 2 * p), n)
+        bend = np.bincount(at, a**2 * 2 * p * (1 - p), n)
         low, high = np.where(slope > 0, t, low), np.where(slope <= 0, t, high)
         new = t + slope / np.maximum(bend, 1e-12)
         new = np.where((new <= low) | (new >= high) | (k % 3 == 2), (low + high) / 2, new)
-        moved, t = np.abs(np.where(known & (np.abs(slope) > 1e-9 * weight), new - t, 0)).max(), new
-        if moved < 1e-4:
+        moves = known & (np.abs(slope) > 1e-9 * weight)
+        far = moves & (np.abs(new - t) >= 1e-4)
+        t = np.where(moves, new, t)
+        if not far.any():
             break
-    return np.where(known, t, np.nan)
+        if 2 * far.sum() < known.sum():  # go on with the texts that are not settled
+            on = far[at]
+            a, b, at, known = a[on], b[on], at[on], far
+    return np.where(np.bincount(text, minlength=n) > 0, t, np.nan)
 
 
 def is_prose(text: str) -> bool:
     """True where most pieces between white space are plain words, with punctuation around them at most."""
     pieces = text.split()
-    return 2 * sum(1 for x in pieces if _PLAIN.fullmatch(x)) > len(pieces)
+    left, plain = len(pieces) // 2 + 1, _PLAIN.fullmatch
+    for k, x in enumerate(pieces):
+        if plain(x):
+            left -= 1
+            if not left:
+                return True
+        elif left > len(pieces) - k:
+            return False
+    return False
 
 
 def _wanted(text: str | None) -> list[str] | None:
@@ -154,25 +168,27 @@ def _scores(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, difficulty, sharpness = shared.value
         place: dict[str, int] = {}
-        for batch in batches:
-            at, text = [], []
-            for k, body in enumerate(batch.column(1).to_pylist()):
-                found = []
-                for w in _wanted(body) or ():
-                    i = place.get(w)
-                    if i is None:
-                        if len(place) > 400_000:
-                            place.clear()
-                        h = np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), _SEED)).astype(np.int64)
-                        i = int(np.searchsorted(keys, h)) if len(keys) else 0
-                        i = place[w] = i if i < len(keys) and keys[i] == h else -1
-                    if i >= 0:
-                        found.append(i)
-                at.extend(found)
-                text.extend([k] * len(found))
-            at, text = np.array(at, np.int64), np.array(text, np.int64)
-            t = balance(difficulty[at], sharpness[at], text, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.float64(), mask=np.isnan(t))], names=["doc_id", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                at, text = [], []
+                for k, body in enumerate(batch.column(1).to_pylist()):
+                    found = []
+                    for w in _wanted(body) or ():
+                        i = place.get(w)
+                        if i is None:
+                            if len(place) > 400_000:
+                                place.clear()
+                            h = np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), _SEED)).astype(np.int64)
+                            i = int(np.searchsorted(keys, h)) if len(keys) else 0
+                            i = place[w] = i if i < len(keys) and keys[i] == h else -1
+                        if i >= 0:
+                            found.append(i)
+                    at.extend(found)
+                    text.extend([k] * len(found))
+                at, text = np.array(at, np.int64), np.array(text, np.int64)
+                t = balance(difficulty[at], sharpness[at], text, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.float64(), mask=np.isnan(t))], names=["doc_id", "score"])
 
     return run
 
