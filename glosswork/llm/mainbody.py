@@ -6,20 +6,20 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.functions.text import has_text
+from glosswork.functions.text import has_text, site_of
 from glosswork.llm.sample import least_hashes
+from glosswork.session import cut
 
 #: Bound on the pages that the field is trained on; their lines are all used.
 MOST_PAGES = 1500
-#: Pages of a site in the sample on which a short line must recur to be labelled as the site's own.
-LEAST_REPEATS = 4
+#: A short line is the site's own if it recurs on so many of all its pages, and on more than one in so many of them.
+LEAST_REPEATS, ONE_IN = 8, 200
 ROUNDS, RATE, DECAY = 150, 0.5, 2e-5
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
@@ -45,16 +45,27 @@ _TEASER = re.compile(r"^\W*(?:čítajte (?:aj|tiež|ďalej)|čtěte (?:i|také|d
 _ITEM = re.compile(r"^\d+\.\s")
 
 
-def _key(line: str) -> str:
-    return "".join(c for c in line.lower() if c.isalpha())
+#: What a line may differ in where it recurs, besides case.
+_VARIES = "0123456789 \t\r\xa0.,;:!?…|·•›»«()[]{}<>/\\-–—_*+=%&@#~^$€©®\"'`´“”„‚‘’"
 
 
-def _site(url: str | None) -> str | None:
-    try:
-        host = urlsplit(url or "").hostname
-    except ValueError:
-        return None
-    return re.sub(r"^www\.", "", host) if host else None
+def _key(line: Column) -> Column:
+    """What is the same where a line recurs: its letters, without case."""
+    return F.translate(F.lower(line), _VARIES, "")
+
+
+def recurring(pages: DataFrame, sample: DataFrame) -> DataFrame:
+    """(host, key): the lines of ``sample`` that recur on enough of all ``pages`` of their site (``LEAST_REPEATS``, ``ONE_IN``).
+
+    The lines and sites of the bounded sample are broadcast, so of the others' only their counts move.
+    """
+    keys = F.array_distinct(F.transform(F.split("article_text", "\n"), _key))
+    placed = lambda df: df.select(site_of(F.col("url")).alias("host"), keys.alias("keys")).where("host is not null")
+    lines = lambda df: df.select("host", F.explode("keys").alias("key")).where("key <> ''")
+    known = lines(placed(sample)).distinct()
+    size = placed(pages).select("host").join(F.broadcast(known.select("host").distinct()), "host").groupBy("host").agg(F.count("*").alias("size"))
+    counts = lines(placed(pages)).join(F.broadcast(known), ["host", "key"]).groupBy("host", "key").agg(F.count("*").alias("n"))
+    return counts.join(size, "host").where((F.col("n") >= LEAST_REPEATS) & (F.col("n") * ONE_IN > F.col("size"))).select("host", "key")
 
 
 def _worded(line: str, n: int) -> bool:
@@ -65,31 +76,22 @@ def _worded(line: str, n: int) -> bool:
     return 2 * sum(bool(_AROUND.search(x)) for x in parts) >= len(parts)
 
 
-def silver(pages: list[tuple[str | None, str]]) -> list[list[int]]:
-    """Labels of the non-blank lines of (url, text): 1 around the article, 0 part of it.
+def silver(pages: list[list[tuple[str, bool]]]) -> list[list[int]]:
+    """Labels of the lines of each page, given as (line, recurs on its site): 1 around the article, 0 part of it.
 
-    A short line that recurs on several pages of its site in the sample, a row of menu entries, and a
+    A short line that recurs on its site, a row of menu entries, and a
     line with the wording of notices, teasers, credits and advertisements are around; the rest is article. A long
     line needs that wording in most of its sentences, as paragraphs of articles mention such things, too.
     """
-    often: Counter = Counter()
-    for url, text in pages:
-        site = _site(url)
-        if site:
-            often.update({(site, _key(x)) for x in text.split("\n")})
     out = []
-    for url, text in pages:
-        site, labels = _site(url), []
-        for line in text.split("\n"):
-            line = line.strip()
-            if not line:
-                continue
+    for page in pages:
+        labels = []
+        for line, recurs in page:
             n = len(line.split())
             parts = [x for x in _SPLIT.split(line) if x]
             menu = len(parts) > 2 and all(len(x.split()) <= 3 for x in parts) and not _END.search(line)
             numbered = bool(_ITEM.match(line)) and n <= 14 and not _END.search(line)
-            own = bool(site) and n <= 45 and often[site, _key(line)] >= LEAST_REPEATS
-            labels.append(int(bool(_TEASER.match(line)) or menu or numbered or own or _worded(line, n)))
+            labels.append(int(bool(_TEASER.match(line)) or menu or numbered or (recurs and n <= 45) or _worded(line, n)))
         out.append(labels)
     return out
 
@@ -241,11 +243,16 @@ def _lines(text: str) -> tuple[list[int], list[str]]:
 
 
 def fit(pages: DataFrame, most: int = MOST_PAGES) -> Field:
-    """The field, trained on at most ``most`` pages with text (those with the least hash of page_id), labelled by ``silver``."""
+    """The field, trained on at most ``most`` pages with text (those with the least hash of page_id), labelled by ``silver``.
+
+    Whether a line recurs on its site is counted over all pages.
+    """
     kept = pages.select("page_id", "url", "article_text").where(has_text(F.col("article_text")))
-    sample = least_hashes(kept, "page_id", most, pages.count()).select("url", "article_text").collect()
-    texts = [(r["url"], r["article_text"]) for r in sample]
-    return train([_lines(x)[1] for _, x in texts], silver(texts))
+    sample = cut(least_hashes(kept, "page_id", most, pages.count()))
+    often = {(r["host"], r["key"]) for r in recurring(kept, sample).collect()}
+    each = sample.select(site_of(F.col("url")).alias("host"), F.transform(F.split("article_text", "\n"), lambda x: F.struct(x.alias("line"), _key(x).alias("key"))).alias("lines")).collect()
+    texts = [[(x["line"].strip(), (r["host"], x["key"]) in often) for x in r["lines"] if x["line"].strip()] for r in each]
+    return train([[line for line, _ in page] for page in texts], silver(texts))
 
 
 def _decode(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
