@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.resources import CZECH_SUFFIXES, STOPWORDS, accent_map, language_code
@@ -96,25 +99,53 @@ def space_terms(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda t: t != "")
 
 
+def _places(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, n, token, position) of batches of (key, pieces), pieces being (token, keep); each piece is followed by ``gap`` more characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                lists = batch.column(1)
+                counts, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+                token, keep = flat.field(0), flat.field(1).to_numpy(zero_copy_only=False).astype(bool)
+                sizes = pc.utf8_length(token).to_numpy(zero_copy_only=False).astype(np.int64) + gap
+                row = np.repeat(np.arange(len(counts)), counts)
+                first = (np.cumsum(counts) - counts)[row]
+                start, number = np.cumsum(sizes) - sizes, np.cumsum(keep)
+                position = start - start[first] if len(row) else start
+                n = number - (number - keep)[first] if len(row) else number
+                on = np.flatnonzero(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[on])), pa.array(n[on].astype(np.int32)), token.take(pa.array(on)), pa.array(position[on])], names=["k", "n", "token", "position"])
+
+    return run
+
+
+def _placed(docs: DataFrame, key: str, pieces: Column, keep: Callable[[Column], Column], gap: int) -> DataFrame:
+    """(k, n, token, position) of the pieces of each text that are kept.
+
+    The lengths are added up over the row's own array, a batch of rows at a time, so nothing is shuffled and rows with equal keys are not mixed.
+    """
+    told = F.transform(F.coalesce(pieces, F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), keep(t).alias("keep")))
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("k"), told.alias("pieces")).mapInArrow(_places(gap), f"k {kind}, n int, token string, position bigint")
+
+
 def typed_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(``key``, n, token, type, position, length): every token with its place in the text.
 
     White space is matched along with the tokens, so that lengths add up to positions (in
-    characters, from 0). Null texts give no rows.
+    characters, from 0). Null and empty texts give no rows; each row's tokens are counted by themselves, also where keys are null or repeat.
     """
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"{TOKEN}|[{SPACES}]+"), F.lit(0))
-    rows = docs.select(F.col(key).alias("_k"), F.posexplode(pieces).alias("_n", "token"))
-    before = Window.partitionBy("_k").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("position", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0))).where(~F.col("token").rlike(f"^[{SPACES}]"))
-    n = F.row_number().over(Window.partitionBy("_k").orderBy("_n"))
-    return placed.select(F.col("_k").alias(key), n.alias("n"), "token", token_type(F.col("token")).alias("type"), "position", F.length("token").alias("length"))
+    rows = _placed(docs, key, pieces, lambda t: ~t.rlike(f"^[{SPACES}]"), 0)
+    return rows.select(F.col("k").alias(key), "n", "token", token_type(F.col("token")).alias("type"), "position", F.length("token").alias("length"))
 
 
 def split_tokens(docs: DataFrame, key: str, text: str, separator: str = " ") -> DataFrame:
-    """(``key``, n, token, position): pieces between single separators, empty ones kept."""
-    rows = docs.select(F.col(key).alias("_k"), F.posexplode(F.split(F.col(text), r"\Q" + separator + r"\E")).alias("_n", "token"))
-    before = Window.partitionBy("_k").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(F.col("_k").alias(key), (F.col("_n") + 1).alias("n"), "token", F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0)).alias("position"))
+    """(``key``, n, token, position): pieces between single separators, empty ones kept. Null texts give no rows."""
+    rows = _placed(docs, key, F.split(F.col(text), r"\Q" + separator + r"\E"), lambda t: F.lit(True), len(separator))
+    return rows.select(F.col("k").alias(key), "n", "token", "position")
 
 
 def lemmatise(rows: DataFrame, lemmas: DataFrame, term: str = "term") -> DataFrame:

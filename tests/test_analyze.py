@@ -86,3 +86,19 @@ def test_split_tokens(spark):
     rows = spark.createDataFrame([(1, "a  b"), (2, None), (3, "")], "doc_id int, text string")
     got = [(r["doc_id"], r["token"], r["position"]) for r in A.split_tokens(rows, "doc_id", "text").orderBy("doc_id", "n").collect()]
     assert got == [(1, "a", 0), (1, "", 2), (1, "b", 3), (3, "", 0)]
+
+
+def test_tokens_of_repeated_and_null_keys(spark):
+    rows = spark.createDataFrame([(1, "ab cde"), (1, "x yz"), (None, "q  r"), (None, None), (2, "")], "doc_id int, text string").coalesce(1)
+    typed = [(r["doc_id"], r["n"], r["token"], r["position"]) for r in A.typed_tokens(rows, "doc_id", "text").collect()]
+    assert typed == [(1, 1, "ab", 0), (1, 2, "cde", 3), (1, 1, "x", 0), (1, 2, "yz", 2), (None, 1, "q", 0), (None, 2, "r", 3)]
+    split = [(r["doc_id"], r["n"], r["token"], r["position"]) for r in A.split_tokens(rows, "doc_id", "text").collect()]
+    assert split == [(1, 1, "ab", 0), (1, 2, "cde", 3), (1, 1, "x", 0), (1, 2, "yz", 2), (None, 1, "q", 0), (None, 2, "", 2), (None, 3, "r", 3), (2, 1, "", 0)]
+    plan = A.typed_tokens(rows, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("coalesce", "") and "Window" not in plan
+
+
+def test_tokens_of_a_very_long_text(spark):
+    rows = spark.createDataFrame([("k", "ab " * 200_000)], "doc_id string, text string")
+    last = A.typed_tokens(rows, "doc_id", "text").orderBy(F.desc("n")).first()
+    assert (last["n"], last["token"], last["position"]) == (200_000, "ab", 599_997)
