@@ -57,15 +57,17 @@ def _key(line: Column) -> Column:
 def recurring(pages: DataFrame, sample: DataFrame) -> DataFrame:
     """(host, key): the lines of ``sample`` that recur on enough of all ``pages`` of their site (``LEAST_REPEATS``, ``ONE_IN``).
 
+    Lines are counted as they stand but for digits, by a hash of site and line; one that stands otherwise on a page of the sample has the key of one that was counted.
     The lines and sites of the bounded sample are broadcast, so of the others' only their counts move.
     """
-    keys = F.array_distinct(F.transform(F.split("article_text", "\n"), _key))
-    placed = lambda df: df.select(site_of(F.col("url")).alias("host"), keys.alias("keys")).where("host is not null")
-    lines = lambda df: df.select("host", F.explode("keys").alias("key")).where("key <> ''")
-    known = lines(placed(sample)).distinct()
-    size = placed(pages).select("host").join(F.broadcast(known.select("host").distinct()), "host").groupBy("host").agg(F.count("*").alias("size"))
-    counts = lines(placed(pages)).join(F.broadcast(known), ["host", "key"]).groupBy("host", "key").agg(F.count("*").alias("n"))
-    return counts.join(size, "host").where((F.col("n") >= LEAST_REPEATS) & (F.col("n") * ONE_IN > F.col("size"))).select("host", "key")
+    line = lambda x: F.regexp_replace(x, "[0-9\r]+", "")
+    own = sample.select(site_of(F.col("url")).alias("host"), F.explode(F.split("article_text", "\n")).alias("line")).where("host is not null")
+    known = own.select("host", _key(F.col("line")).alias("key"), F.xxhash64("host", line(F.col("line"))).alias("at")).where("key <> ''").distinct()
+    placed = pages.select(site_of(F.col("url")).alias("host"), "article_text").where("host is not null")
+    each = placed.select(F.explode(F.array_distinct(F.transform(F.split("article_text", "\n"), lambda x: F.xxhash64("host", line(x))))).alias("at"))
+    counts = each.join(F.broadcast(known.select("at").distinct()), "at").groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_REPEATS)
+    size = placed.select("host").join(F.broadcast(known.select("host").distinct()), "host").groupBy("host").agg(F.count("*").alias("size"))
+    return known.join(counts, "at").join(size, "host").where(F.col("n") * ONE_IN > F.col("size")).select("host", "key").distinct()
 
 
 def _worded(line: str, n: int) -> bool:

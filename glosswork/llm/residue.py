@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 
@@ -94,6 +94,14 @@ def mask(line: str) -> list[str]:
     kept: list[str] = []
     begins = True
     for piece in pieces:
+        if piece.isalpha():  # the same, faster
+            name = not begins and not shouted and piece[0].isupper() and (piece.istitle() or (len(piece) > 1 and piece.isupper()))
+            if not name:
+                kept.append(piece.lower())
+            elif kept[-1:] != ["@"]:
+                kept.append("@")
+            begins = False
+            continue
         if "/" in piece:
             found = ["@"]
         elif any(map(str.isdigit, piece)):
@@ -119,16 +127,22 @@ def simhash(words: list[str]) -> int:
     return int(np.packbits(2 * bits.sum(axis=0) > len(features)).view(np.int64)[0])
 
 
-def node_of(words: list[str]) -> int:
+@lru_cache(maxsize=50_000)
+def _node(words: tuple[str, ...]) -> int:
+    return node_of(words)
+
+
+def node_of(words: Sequence[str]) -> int:
     """64 bits that tell a masked line."""
     return signed(hash64(" ".join(words).encode("utf-8", "surrogatepass")))
 
 
-def _message(line: str) -> list[str] | None:
+@lru_cache(maxsize=50_000)
+def _message(line: str) -> tuple[str, ...] | None:
     """The masked words of a line that may be a message: at least three, two of them words indeed."""
     if not 2 < len(line.split()) <= MESSAGE_WORDS:
         return None
-    words = mask(line)
+    words = tuple(mask(line))
     return words if len(words) > 2 and sum(x not in "@#" for x in words) > 1 else None
 
 
@@ -164,12 +178,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     prose += len(words)
             if prose >= ARTICLE_WORDS:
                 full += 1
-                usual.update({node_of(x) for x in map(_message, lines) if x})
+                usual.update({_node(x) for x in map(_message, lines) if x})
             else:
                 trusted = whole in ERROR_TITLES or bare in ERROR_TITLES
                 trusted_pages += trusted
                 own = own or trusted
-                for words in {tuple(x) for x in map(_message, lines) if x}:
+                for words in {x for x in map(_message, lines) if x}:
                     rows.append((page, LINE, trusted, node_of(words), 1, simhash(list(words)), words))
             if own:
                 rows.append((page, OWN, True, None, 1, None, None))
