@@ -45,7 +45,7 @@ class SearchEngine:
         return boolean.parse(query, self._analyser())
 
     def boolean_counts(self, queries: list[tuple[str, str]]) -> DataFrame:
-        return boolean.hit_counts(self.documents.sparkSession, self.index.postings, self.documents, queries, self._analyser())
+        return boolean.hit_counts(self.index.postings, self.documents, queries, self._analyser())
 
     def snippets(self, query: str, best: int = 3) -> DataFrame:
         """(doc_id, score, rank, snippet) of the best documents."""

@@ -33,11 +33,11 @@ def bm25_scores(index: Index, wanted: DataFrame, k1: float = K1, b: float = B) -
     """(qid, doc_id, score): BM25 of every document that shares a term with the query.
 
     ``wanted`` holds (qid, term, q_tf). The query terms meet their df first and are then sent to
-    the postings, so that those move only if there are very many query terms; what is shuffled is one row per
+    the postings, which hold the length of their document, so that those move only if there are very many query terms; what is shuffled is one row per
     (query, document, task). A document without length counts as average, length 0 as 1.
     """
     known = wanted.join(index.terms.select("term", "df"), "term")
-    hit = index.postings.join(small(known), "term").join(index.docs.select("doc_id", "dl"), "doc_id", "left").crossJoin(F.broadcast(index.stats))
+    hit = index.postings.join(small(known), "term").crossJoin(F.broadcast(index.stats))
     average = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     length = F.coalesce(F.when(F.col("dl") == 0, 1.0).otherwise(F.col("dl")), average)
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / average))

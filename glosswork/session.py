@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """``table`` for work that is heavy per row: one of fewer splits than the cluster has cores is dealt out by ``key``.
 
-    A large table has splits enough and is left as it is, so nothing is shuffled.
+    A large table has splits enough, by the size of its files, and is left as it is, so nothing is shuffled.
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores, key)
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    files = sum(-(-n // split) for _, n, _ in _files(df))
+    return df if files >= cores else df.repartition(cores, key)
+
+
+def _files(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, bytes, time) of the files that ``df`` is read from."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
+def stamp_of(df: DataFrame) -> str:
+    """Tells what ``df`` is: its plan, and the state of the files that it is read from."""
+    return md5(repr((_files(df), df._jdf.queryExecution().analyzed().canonicalized().semanticHash())).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

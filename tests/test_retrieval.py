@@ -67,8 +67,21 @@ def test_boolean_truth_table(spark, toy):
         assert " ".join(sorted(r["doc_id"] for r in boolean.search(toy.postings, docs, parsed).collect())) == want, query
         if query in POSTFIX:
             assert " ".join(v for _, v in parsed.postfix) == POSTFIX[query]
-    counts = boolean.hit_counts(spark, toy.postings, docs, list((q, q) for q in TRUTH), _normalise)
+    counts = boolean.hit_counts(toy.postings, docs, list((q, q) for q in TRUTH), _normalise)
     assert {r["qid"]: r["hits"] for r in counts.collect()} == {q: len(w.split()) for q, w in TRUTH.items()}
+    found = {}
+    for r in boolean.search_many(toy.postings, docs, spark.createDataFrame([(q, q) for q in TRUTH], "qid string, text string"), _normalise).collect():
+        found.setdefault(r["qid"], []).append(r["doc_id"])
+    assert {q: " ".join(sorted(found.get(q, []))) for q in TRUTH} == TRUTH
+
+
+def test_boolean_queries_of_many_terms(spark, toy):
+    docs = spark.createDataFrame(DOCS, "doc_id string, text string")
+    words = " OR ".join(f"none{k}" for k in range(150))
+    queries = [("a", f"({words}) OR cat"), ("b", f"NOT ({words}) AND dog"), ("a", "bird"), (None, "fish"), ("c", None)]
+    got = boolean.hit_counts(toy.postings, docs, queries, _normalise).collect()
+    assert sorted((r["qid"] or "", r["hits"]) for r in got) == [("", 3), ("a", 1), ("a", 1), ("b", 3), ("c", 0)]
+    assert boolean.hit_counts(toy.postings, docs, spark.createDataFrame([], "qid string, text string"), _normalise).count() == 0
 
 
 def test_empty_corpus(spark):
@@ -87,17 +100,52 @@ def test_empty_documents_count_for_n(spark):
 
 
 def test_save_load_and_cache(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "strom a dom"), ("b", "dom")], "doc_id string, text string")
-    mark = index.fingerprint(docs).first()
+    docs = spark.createDataFrame([("a", "strom a dom"), ("b", "dom"), ("c", "!")], "doc_id string, text string")
     path = str(tmp_path / "index")
-    index.build(docs, "sk").save(path, documents=str(mark["documents"]), fingerprint=mark["fingerprint"])
+    row = index.build(docs, "sk").save(path, docs, language="sk", source="here")
+    assert (row["doc_count"], row["term_count"], row["documents"], row["language"]) == ("3", "2", "3", "sk") and int(row["index_size_bytes"]) > 0 and float(row["duration_seconds"]) > 0
     again = index.load(spark, path)
-    assert {tuple(r) for r in again.postings.collect()} == {("strom", "a", 1), ("dom", "a", 1), ("dom", "b", 1)}
-    assert index.is_current(spark, path, docs)
+    assert {tuple(r) for r in again.postings.collect()} == {("strom", "a", 1, 2), ("dom", "a", 1, 2), ("dom", "b", 1, 1)} and again.meta == row
+    assert index.is_current(spark, path, docs) and index.is_current(spark, path, docs, "here") and not index.is_current(spark, path, docs, "there")
     assert index.is_current(spark, path, docs.orderBy(F.desc("doc_id")))
     assert not index.is_current(spark, path, docs.where("doc_id = 'a'"))
     assert not index.is_current(spark, str(tmp_path / "none"), docs)
     assert {tuple(r) for r in index.rebuild(again.postings).stats.collect()} == {(2, 1.5)}
+    assert [index.cached(path, d, x, "sk")[1] for d, x in ((docs, "here"), (docs, "there"), (docs, "there"), (docs.where("doc_id <> 'b'"), "there"))] == [False, True, False, True]
+
+
+def test_shared_index_follows_its_files(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    write = lambda rows: spark.createDataFrame(rows, "doc_id string, text string").write.mode("overwrite").parquet(path)
+    write([("a", "strom"), ("b", "dom")])
+    first = index.shared(spark.read.parquet(path), "sk")
+    again = index.shared(spark.read.parquet(path), "sk")
+    assert first.postings.inputFiles() == again.postings.inputFiles()
+    assert index.shared(spark.read.parquet(path).where("doc_id = 'a'"), "sk").stats.first()["n"] == 1
+    write([("a", "strom"), ("b", "dom"), ("c", "dom")])
+    assert index.shared(spark.read.parquet(path), "sk").stats.first()["n"] == 3 and first.postings.count() == 2
+
+
+def test_index_in_json(spark, toy, tmp_path):
+    import json
+
+    postings = {}
+    for r in toy.postings.collect():
+        postings.setdefault(r["term"], {})[r["doc_id"]] = r["tf"]
+    lengths = {r["doc_id"]: r["dl"] for r in toy.docs.collect()}
+    full = {"postings": postings, "doc_freq": {t: len(d) for t, d in postings.items()}, "idf": {r["term"]: r["idf"] for r in toy.terms.collect()}, "doc_lengths": lengths, "avgdl": 2.75, "num_docs": 4}
+    forms = {"wrapped": {"meta": {"pipeline": "baseline_sk", "doc_count": 4}, "index": full}, "bare": full, "postings": {"postings": postings}, "empty": {"postings": {}}}
+    for name, payload in forms.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(payload, indent=1), encoding="utf-8")
+        made = index.read_json(spark, str(path))
+        if name == "empty":
+            assert made.postings.count() == 0 and tuple(made.stats.first()) == (0, 0.0)
+            continue
+        for query in ("cat fish", "dog"):
+            assert _listed(rank.bm25_scores(made, _ask(spark, query))) == _listed(rank.bm25_scores(toy, _ask(spark, query)))
+            assert _listed(rank.cosine_scores(made, _ask(spark, query))) == _listed(rank.cosine_scores(toy, _ask(spark, query)))
+        assert made.meta.get("pipeline") == ("baseline_sk" if name == "wrapped" else None)
 
 
 def test_corpus_takes_repeats_nulls_and_extra_columns(spark):
