@@ -25,6 +25,7 @@ class Parsed:
     infix: list[tuple[str, str]] = field(default_factory=list)
     postfix: list[tuple[str, str]] = field(default_factory=list)
     error: str = ""
+    hits: int | None = None
 
     @property
     def terms(self) -> list[str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,11 @@ from pyspark.sql import functions as F
 from glosswork.functions import analyze as A
 from glosswork.functions import html as H
 from glosswork.functions.text import has_text
-from glosswork.operators import boolean, evaluate, index, rank, snippet
+from glosswork.operators import boolean, evaluate, index, rank, snippet, workflow
+from glosswork.operators.engine import SearchEngine
+from glosswork.operators.pipelines import Pipeline
+from glosswork.session import new_folder, table, text_table
 from glosswork.sources import crawl, records
-from glosswork.session import checkpoint_folder, table, text_table
 from glosswork.streaming import ingest
 
 LANGUAGE = "sk"
@@ -36,7 +37,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> index.Index:
-    return index.build(_documents(spark, d), LANGUAGE)
+    """The index of the documents; one for all queries of a session."""
+    return index.shared(_documents(spark, d), LANGUAGE)
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -133,17 +135,41 @@ def index_rebuild(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:
-    """The index saved in the shared folder and loaded again: one row per table."""
-    path = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    """The index built, saved in the shared folder and loaded again: one row per table."""
+    path = new_folder(spark, "index")
     documents = _documents(spark, d)
-    mark = index.fingerprint(documents).first()
-    index.build(documents, LANGUAGE).save(path, documents=str(mark["documents"]), fingerprint=mark["fingerprint"], language=LANGUAGE)
+    index.build(documents, LANGUAGE).save(path, documents, language=LANGUAGE)
     loaded = index.load(spark, path)
     current = index.is_current(spark, path, documents)
     parts = [t.agg(F.count("*").alias("size")).select(F.lit(n).alias("part"), "size", F.lit(current).alias("current")) for n, t in (("postings", loaded.postings), ("terms", loaded.terms), ("docs", loaded.docs), ("stats", loaded.stats))]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """A saved index opened by path and searched for a batch by cosine."""
+    path = new_folder(spark, "index")
+    SearchEngine(_documents(spark, d), Pipeline("baseline", LANGUAGE)).save(path, source=d)
+    asked = table(spark, d, "eval_queries").select("qid", F.col("description").alias("text"))
+    return SearchEngine.open(spark, path).search_all(asked, 10, "tfidf")
+
+
+def index_meta(spark: SparkSession, d: str) -> DataFrame:
+    """The counts in the metadata of a saved index."""
+    path = new_folder(spark, "index")
+    row = index.build(_documents(spark, d), LANGUAGE).save(path, _documents(spark, d), language=LANGUAGE)
+    return spark.createDataFrame([(int(row["doc_count"]), int(row["term_count"]), int(row["documents"]), row["fingerprint"])], "doc_count bigint, term_count bigint, documents bigint, fingerprint string")
+
+
+def preprocessed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents preprocessed to files, indexed from these, and searched through the index that was saved."""
+    folder = new_folder(spark, "preprocessed")
+    rows = text_table(spark, d, "documents", "doc_id").withColumn("n", F.col("doc_id"))
+    row = workflow.preprocess(rows, "n", folder, "baseline", LANGUAGE, ["text"], write_vocabulary=False)
+    workflow.index_preprocessed(spark, row["docs"][0], f"{folder}/index", f"baseline_{LANGUAGE}")
+    asked = table(spark, d, "eval_queries").select("qid", F.col("description").alias("text"))
+    return SearchEngine.open(spark, f"{folder}/index").search_all(asked, 10, "tfidf")
+
+
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return index.fingerprint(_documents(spark, d))
 
@@ -184,21 +210,34 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 def _boolean(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        documents = _documents(spark, d)
         parsed = boolean.parse(BOOLEAN[name], boolean.analyser(spark, LANGUAGE))
-        return boolean.search(index.postings_of(documents, LANGUAGE), documents, parsed)
+        return boolean.search(_index(spark, d).postings, _documents(spark, d), parsed)
 
     return run
 
 
 def bool_malformed(spark: SparkSession, d: str) -> DataFrame:
-    documents = _documents(spark, d)
-    return boolean.search(index.postings_of(documents, LANGUAGE), documents, boolean.parse("recepty AND (koncerty", boolean.analyser(spark, LANGUAGE)))
+    return boolean.search(_index(spark, d).postings, _documents(spark, d), boolean.parse("recepty AND (koncerty", boolean.analyser(spark, LANGUAGE)))
 
 
 def bool_batch(spark: SparkSession, d: str) -> DataFrame:
-    documents = _documents(spark, d)
-    return boolean.hit_counts(spark, index.postings_of(documents, LANGUAGE), documents, BATCH, boolean.analyser(spark, LANGUAGE))
+    return boolean.hit_counts(_index(spark, d).postings, _documents(spark, d), BATCH, boolean.analyser(spark, LANGUAGE))
+
+
+def _alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, text): the descriptions of all queries, without operators, and each once more with NOT before it."""
+    plain = table(spark, d, "eval_queries").select("qid", F.regexp_replace("description", r"(?i)\b(?:and|or|not)\b|[()]", " ").alias("text"))
+    return plain.union(plain.select(F.concat("qid", F.lit("-not")), F.concat(F.lit("NOT ("), "text", F.lit(")"))))
+
+
+def bool_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a table of Boolean queries: all descriptions, and all of them negated."""
+    return boolean.hit_counts(_index(spark, d).postings, _documents(spark, d), _alternatives(spark, d), boolean.analyser(spark, LANGUAGE))
+
+
+def bool_results(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that meet each of these queries."""
+    return boolean.search_many(_index(spark, d).postings, _documents(spark, d), _alternatives(spark, d), boolean.analyser(spark, LANGUAGE))
 
 
 def highlight(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +269,16 @@ def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
     return records.merged_metadata(records.metadata(docs, "n"), records.metadata(_numbered_pages(spark, d), "n"))
 
 
+def crawl_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return records.crawl_metadata(table(spark, d, "crawled_pages"), "page_id")
+
+
+def snippet_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text of preprocessed records to cut snippets from."""
+    rows = table(spark, d, "preprocessed_docs")
+    return rows.select("row_id", records.snippet_texts(rows.columns).alias("text"))
+
+
 def results_display(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "title")
     return snippet.result_table(bm25_topk(spark, d), titles)
@@ -240,10 +289,12 @@ def get_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Quality of BM25 where documents that hold the query as a phrase count as relevant."""
-    asked = table(spark, d, "eval_queries").where("trim(description) <> ''").select("qid", F.lower("description").alias("phrase"))
-    qrels = _documents(spark, d).join(rank.small(asked), F.contains(F.lower("text"), F.col("phrase"))).select("qid", "doc_id", F.lit(1).alias("rel"))
-    per = evaluate.query_metrics(bm25_run(spark, d), qrels)
+    """Quality of BM25 to a depth of 1000, where documents that hold all terms of the query count as relevant."""
+    asked = _asked(spark, d)
+    needed = asked.groupBy("qid").agg(F.count("*").alias("needed"))
+    held = _index(spark, d).postings.join(rank.small(asked.select("qid", "term")), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("held"))
+    qrels = held.join(rank.small(needed), "qid").where("held = needed").select("qid", "doc_id", F.lit(1).alias("rel"))
+    per = evaluate.query_metrics(rank.top_k(rank.bm25_scores(_index(spark, d), asked), 1000), qrels)
     return per.select("qid", *(F.round(c, 6).alias(c) for c in ("ap", "p_at_k", "ndcg", "rr")))
 
 
@@ -251,10 +302,6 @@ def eval_means(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.means(eval_metrics(spark, d))
 
 
-def bm25_run(spark: SparkSession, d: str) -> DataFrame:
-    return rank.top_k(rank.bm25_scores(_index(spark, d), _asked(spark, d)), 100)
-
-
 def detect_text_keys(spark: SparkSession, d: str) -> DataFrame:
     return records.detect_text_keys(table(spark, d, "crawled_pages").orderBy("page_id"))
 
@@ -348,6 +395,28 @@ def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     return crawl.sitemap_urls(table(spark, d, "frontier").select(F.col("entry_id").alias("source"), body.alias("body")))
 
 
+def _maps(spark: SparkSession, d: str) -> DataFrame:
+    """(source, body): sitemaps in a tree, each naming two more and the urls of some entries of the frontier; the last ones name the first again."""
+    urls = table(spark, d, "frontier").select(F.pmod("entry_id", F.lit(31)).alias("at"), F.concat(F.lit("<loc>"), "url", F.lit("</loc>")).alias("line")).where("url <> '' and not contains(url, '\n')")
+    own = urls.groupBy("at").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("own"))
+    name = lambda k: F.concat(F.lit("https://m/sitemap"), F.pmod(k, F.lit(31)))
+    nested = F.concat(F.lit("<loc>"), name(2 * F.col("id") + 1), F.lit("</loc>\n<loc>"), name(2 * F.col("id") + 2), F.lit("</loc>\n"))
+    return spark.range(31).join(own, F.col("id") == F.col("at"), "left").select(name(F.col("id")).alias("source"), F.concat(nested, F.coalesce("own", F.lit(""))).alias("body"))
+
+
+def nested_sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.sitemap_tree(_maps(spark, d), spark.createDataFrame([("https://m/sitemap0",)], "url string"), START, FORBIDDEN)
+
+
+def crawl_state(spark: SparkSession, d: str) -> DataFrame:
+    """The queue after a round over the frontier, saved and loaded again."""
+    path = new_folder(spark, "state")
+    pages = _html(spark, d).where("url is not null").groupBy("url").agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("page_id"))
+    _, queue = crawl.crawl_round(table(spark, d, "frontier").select("url", "status"), pages.select("page_id", "url", "html"), START, FORBIDDEN)
+    crawl.save_state(queue, path, disallowed=FORBIDDEN)
+    return crawl.load_state(spark, path)[0]
+
+
 def robots_rules(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("User-agent: *\nDisallow: /a/"), F.col("entry_id"), F.lit("\nCrawl-delay: "), F.col("request_delay"), F.lit("\nSitemap: s.xml\nAllow:\n"))
     return crawl.robots_rules(table(spark, d, "frontier").select(F.col("entry_id").alias("source"), body.alias("body")))
@@ -360,7 +429,7 @@ def _glob(d: str, name: str) -> str:
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Documents read as a stream, indexed batch by batch; df of each term from the postings written."""
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     still = table(spark, d, "documents")
     stream = spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 64).parquet(_glob(d, "documents"))
     ingest.index_stream(index.unique_corpus(stream), f"{folder}/postings", f"{folder}/checkpoint", LANGUAGE).awaitTermination()
@@ -368,8 +437,8 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    """Pages read as a stream, the first of each url within the watermark, counted by topic."""
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """Pages read as a stream, the first of each url; the watermark covers all times of the table, so that none comes out twice."""
+    folder = new_folder(spark, "stream")
     still = table(spark, d, "crawled_pages")
     stream = spark.readStream.schema(still.schema).parquet(_glob(d, "crawled_pages"))
     fresh = ingest.first_seen(stream.where("url is not null"), "url", "ingested_at", "3650 days").select("url")
@@ -379,10 +448,10 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = """bm25_search tfidf_search bm25_topk tfidf_topk candidates term_breakdown trec_run bm25_stemmed
 tokenize_typed simple_tokenize split_tokenize whitespace_tokenize token_type_filter stopword_filter min_length_filter strip_diacritics terms_baseline stem_cs lemma_lookup preprocess
-vocabulary postings term_stats doc_stats collection_stats index_rebuild index_build fingerprint
-highlight kwic ranked_snippets metadata_enrich metadata_merge results_display get_document eval_metrics eval_means
+vocabulary postings term_stats doc_stats collection_stats index_rebuild index_build index_search index_meta preprocessed_search fingerprint
+highlight kwic ranked_snippets metadata_enrich metadata_merge crawl_metadata snippet_texts results_display get_document eval_metrics eval_means
 detect_text_keys normalize_docs evaluation_docs evaluation_queries preprocessed_texts dedupe_last size_text content_md5
-html_title html_fields html_article html_records html_links link_filter frontier_antijoin sitemap_urls robots_rules
-bool_malformed bool_batch stream_ingest stream_first_seen""".split()
+html_title html_fields html_article html_records html_links link_filter frontier_antijoin sitemap_urls nested_sitemaps crawl_state robots_rules
+bool_malformed bool_batch bool_queries bool_results stream_ingest stream_first_seen""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES} | {name: _boolean(name) for name in BOOLEAN}

@@ -76,8 +76,9 @@ def _has(term: str) -> str:
 
 
 _ALL = "(select doc_id from docs)"
-_QRELS = "qrels as (select qid, doc_id from docs, eval_queries where trim(description) <> '' and contains(lower(text), lower(description)))"
-_METRICS = f"""{_with()}, {_queries()}, {_BM25}, run as ({_top(100)}), {_QRELS},
+_BARE = r"(select qid, regexp_replace(description, '(?i)\b(?:and|or|not)\b|[()]', ' ', 'g') as description from eval_queries)"
+_QRELS = "qrels as (select qid, doc_id from asked join postings using (term) join (select qid, count(*) as needed from asked group by 1) using (qid) group by qid, doc_id, needed having count(*) = needed)"
+_METRICS = f"""{_with()}, {_queries()}, {_BM25}, run as ({_top(1000)}), {_QRELS},
 placed as (select r.qid, r.doc_id, row_number() over (partition by r.qid order by score desc, r.doc_id desc) as place, case when q.doc_id is null then 0 else 1 end as hit from run r left join qrels q on r.qid = q.qid and r.doc_id = q.doc_id),
 counted as (select *, sum(hit) over (partition by qid order by place) as hits from placed),
 judged as (select qid, count(*) as relevant, sum(1 / log2(i + 1)) as ideal from (select qid, row_number() over (partition by qid) as i from qrels) group by 1),
@@ -128,6 +129,8 @@ _HTML = f"""html as (select page_id, url, '<html><head>' || {_part('<title>', 't
 || coalesce('<article id="clanok"><p>' || replace({_ESC.format('article_text')}, chr(10), '</p>' || chr(10) || '<p>') || '</p></article>', '') || '</body></html>' as html from crawled_pages)"""
 _LINKS = "links as (select page_id, url from crawled_pages where url is not null union all select page_id, '/t' from crawled_pages where topic is not null or url is not null)"
 
+_FORBIDDEN = "^https://[^/?#]*(?:/sport/|/recepty/)"
+
 SQL: dict[str, str] = {
     "tokenize_typed": f"""with pieces as (select doc_id, unnest(p) as token, unnest(range(1, len(p) + 1)) as i from (select doc_id, regexp_extract_all(text, '{_TOKEN}|[{SPACES}]+') as p from documents where text is not null)),
 placed as (select doc_id, i, token, coalesce(sum(length(token)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as position from pieces)
@@ -159,6 +162,9 @@ select doc_id, sum(tf)::bigint as dl, round(sqrt(sum(((1 + log10(tf)) * idf) **
     "fingerprint": f"with {_DOCS} select count(*) as documents, {_PARTS} as fingerprint from docs",
     "bm25_search": f"{_with()}, {_ONE}, {_BM25} {_top(10, 'doc_id, score, rank')}",
     "tfidf_search": f"{_with()}, {_ONE}, {_COSINE} {_top(10, 'doc_id, score, rank')}",
+    "index_search": f"{_with()}, {_queries()}, {_COSINE} {_top(10)}",
+    "index_meta": f"{_with()} select (select count(*) from lengths) as doc_count, (select count(*) from table_) as term_count, (select count(*) from docs) as documents, (select {_PARTS} from docs) as fingerprint",
+    "preprocessed_search": f"""with {_terms()}, docs as (select distinct doc_id from terms), {_INDEX}, {_queries()}, {_COSINE} {_top(10)}""",
     "bm25_topk": f"{_with()}, {_queries()}, {_BM25} {_top(10)}",
     "tfidf_topk": f"{_with()}, {_queries()}, {_COSINE} {_top(10)}",
     "bm25_stemmed": f"{_with('cs', True)}, {_queries('cs', True)}, {_BM25} {_top(10)}",
@@ -173,11 +179,17 @@ select doc_id, sum(tf)::bigint as dl, round(sqrt(sum(((1 + log10(tf)) * idf) **
     "bool_malformed": "select '' as doc_id, 1.0::double as score where false",
     "bool_batch": f"""with {_terms()}, {_DOCS} select 'b1' as qid, count(*) as hits from ({_has('recepty')} intersect {_has('koncerty')}) union all select 'b2', count(*) from ({_ALL} except {_has('recepty')}) union all select 'b3', 0
 union all select 'b4', count(*) from ({_has('technologie')} union ({_ALL} except {_has('rodinu')})) union all select 'b5', count(*) from (select distinct doc_id from terms where term = 'nikdenic')""",
+    "bool_queries": f"""{_with()}, {_queries(rows=_BARE)}, hits as (select qid, count(distinct doc_id) as n from asked join postings using (term) group by 1), known as (select qid, count(*) as terms from asked group by 1), total as (select count(*) as all_ from docs)
+select q.qid, coalesce(n, 0) as hits from eval_queries q left join hits h on q.qid = h.qid union all select q.qid || '-not', case when k.terms is null then 0 else all_ - coalesce(n, 0) end from total, eval_queries q left join hits h on q.qid = h.qid left join known k on k.qid = q.qid""",
+    "bool_results": f"""{_with()}, {_queries(rows=_BARE)}, hits as (select distinct qid, doc_id from asked join postings using (term)), known as (select distinct qid from asked)
+select qid, doc_id, 1.0::double as score from hits union all select k.qid || '-not', d.doc_id, 1.0 from known k, docs d where not exists (select 1 from hits h where h.qid = k.qid and h.doc_id = d.doc_id)""",
     "highlight": f"select doc_id, {_marked('title')} as marked from documents",
     "kwic": f"with {_CUT} select doc_id, {_SNIPPET} from cut",
     "ranked_snippets": f"{_with()}, {_ONE}, {_BM25}, best as ({_top(3)}), {_CUT} select rank, doc_id::varchar as doc_id, snippet from (select b.rank, b.doc_id, {_SNIPPET} from best b join cut c on b.doc_id = c.doc_id::varchar)",
     "metadata_enrich": f"with {_PAGE_META} select key, title, url from pages_last",
     "metadata_merge": f"with {_PAGE_META}, own as (select doc_id::varchar as key, coalesce({_or_null(_strip('title'))}, 'Unknown') as title, null::varchar as url from documents) select * from own union all select * from pages_last where key not in (select key from own)",
+    "crawl_metadata": f"select url as key, coalesce(title, 'No title') as title, coalesce(author, '') as author, case when {_filled('article_text')} then article_text end as text from (select *, row_number() over (partition by url order by page_id desc) as place from crawled_pages where url <> '') where place = 1",
+    "snippet_texts": f"select row_id, {_first('normalized_text')} as text from preprocessed_docs",
     "results_display": f"{_with()}, {_queries()}, {_BM25}, best as ({_top(10)}) select qid, rank, left(coalesce(title, 'Unknown'), 30) as title, b.doc_id, round(score::decimal(18, 6), 4)::varchar as score from best b left join documents d on b.doc_id = d.doc_id::varchar",
     "get_document": "select doc_id, coalesce(text, '') as text from documents where doc_id = 1",
     "eval_metrics": f"{_METRICS} select * from per",
@@ -200,6 +212,12 @@ union all select 'b4', count(*) from ({_has('technologie')} union ({_ALL} except
     "link_filter": f"with {_LINKS} select page_id, url from links where starts_with(url, 'https://') and not regexp_matches(url, '^https://[^/?#]*(?:/sport/|/recepty/)')",
     "frontier_antijoin": "select distinct url from crawled_pages where url <> '' and url not in (select url from frontier where url is not null)",
     "sitemap_urls": "select entry_id as source, url from frontier where url <> '' and not contains(url, chr(10))",
+    "nested_sitemaps": rf"select distinct url from frontier where starts_with(url, 'https://') and not contains(url, chr(10)) and not contains(lower(url), 'sitemap') and not regexp_matches(url, '{_FORBIDDEN}')",
+    "crawl_state": f"""with {_LINKS}, known as (select url, bool_or(coalesce(lower(status) = 'visited', false)) as visited from frontier where url <> '' group by 1),
+ok as (select url from known where not visited and starts_with(url, 'https://') and not regexp_matches(url, '{_FORBIDDEN}')), fetched as (select url from ok semi join crawled_pages using (url)),
+first as (select min(page_id) as page_id from crawled_pages where url in (select url from fetched) group by url),
+fresh as (select distinct url from links semi join first using (page_id) where starts_with(url, 'https://') and not regexp_matches(url, '{_FORBIDDEN}') and url not in (select url from known))
+select url, 'visited' as status from known where visited union all select url, 'visited' from fetched union all select url, 'pending' from fresh""",
     "robots_rules": "select entry_id as source, rule, value from (select entry_id, unnest(['Disallow', 'Crawl-delay', 'Sitemap', 'Allow']) as rule, unnest(['/a/' || entry_id, request_delay::varchar, 's.xml', '']) as value from frontier where request_delay is not null)",
     "stream_ingest": f"with {_terms()} select term, count(distinct doc_id) as df from terms group by 1",
     "stream_first_seen": "select distinct url from crawled_pages where url is not null",

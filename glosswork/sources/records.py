@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.text import is_blank
 from glosswork.resources import DOCUMENT_ID_KEYS, QUERY_ID_KEYS, QUERY_TEXT_KEYS, TEXT_KEYS, TITLE_KEYS
+from glosswork.session import exists
 
 _ID_LIKE = ("id", "ids", "doc_id", "document_id", "docno", "url")
 
@@ -20,8 +21,10 @@ def read_records(spark: SparkSession, path: str, lenient: bool = False) -> DataF
 
     ``.jsonl`` is read by line. Other files are read whole (a list of records or one
     record), and by line where that yields nothing but corrupt text. A malformed record raises unless
-    ``lenient``, which leaves it out. A missing path raises.
+    ``lenient``, which leaves it out. A missing path raises, unless ``lenient``, which then gives no rows and no columns.
     """
+    if lenient and not exists(spark, path):
+        return spark.createDataFrame([], "")
     reader = spark.read.option("mode", "DROPMALFORMED" if lenient else "FAILFAST")
     if path.endswith((".jsonl", ".ndjson")):
         return reader.json(path)
@@ -111,6 +114,16 @@ def metadata(rows: DataFrame, ordinal: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.max_by(F.struct("title", "url"), "_n").alias("m")).select("key", "m.title", "m.url")
 
 
+def crawl_metadata(rows: DataFrame, ordinal: str) -> DataFrame:
+    """(key, title, author, text) of crawled records under their url; ``No title`` and an empty author where there is none, text only where it is not blank.
+
+    Of several records of a url the one with the greatest ordinal counts; records without url are left out.
+    """
+    text = F.when(~is_blank(F.col("article_text")), F.col("article_text"))
+    kept = rows.where("url <> ''").select(F.col(ordinal).alias("_n"), F.col("url").alias("key"), F.coalesce("title", F.lit("No title")).alias("title"), F.coalesce("author", F.lit("")).alias("author"), text.alias("text"))
+    return kept.groupBy("key").agg(F.max_by(F.struct("title", "author", "text"), "_n").alias("m")).select("key", "m.title", "m.author", "m.text")
+
+
 def merged_metadata(first: DataFrame, second: DataFrame) -> DataFrame:
     """(key, title, url) of both; where both know a key the first wins."""
     a = first.select("key", F.col("title").alias("t1"), F.col("url").alias("u1"), F.lit(True).alias("there"))
@@ -167,6 +180,39 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~is_blank(F.col("line"))).select(F.concat(F.lit("q"), (F.col("n") + 1).cast("string")).alias("qid"), F.trim("line").alias("text"))
 
 
+def boolean_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, text): as ``read_queries``, named bq and the number of the line."""
+    return read_queries(spark, path).select(F.concat(F.lit("b"), "qid").alias("qid"), "text")
+
+
+def query_command(spark: SparkSession, text: str) -> DataFrame | None:
+    """The queries of the file that a query ``file:<path>`` names; None for any other query. Raises without a path."""
+    if not text.lower().startswith("file:"):
+        return None
+    path = text[len("file:") :].strip()
+    if not path:
+        raise ValueError("give a path: file:<path>")
+    return read_queries(spark, path)
+
+
+def discover(spark: SparkSession, folder: str, pattern: str = "*.{json,jsonl}", recursive: bool = False) -> list[str]:
+    """The paths below ``folder`` whose name has the form ``pattern``, in order; none where the folder is missing.
+
+    Such as ``docs_*`` for preprocessed records and ``inverted_index_*.json`` for indexes; with ``recursive`` at any depth.
+    """
+    if not exists(spark, folder):
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, open_ = [], [folder.rstrip("/")]
+    while open_:
+        at = open_.pop()
+        found += [x.getPath().toString() for x in files.globStatus(hadoop.Path(f"{at}/{pattern}")) or []]
+        if recursive:
+            open_ += [x.getPath().toString() for x in files.listStatus(hadoop.Path(at)) if x.isDirectory()]
+    return sorted(x.removeprefix("file:") for x in found)
+
+
 def write_preprocessed(docs: DataFrame, path: str) -> None:
     """Preprocessed records as JSON lines: id, doc_id, url, tokens, normalized_text."""
     docs.select("id", "doc_id", "url", "tokens", "normalized_text").write.mode("overwrite").json(path)
