@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.resources import CZECH_SUFFIXES, STOPWORDS, accent_map, language_code
+from glosswork.resources import CZECH_SUFFIXES, STOPWORDS, accent_classes, accent_map, language_code
 
 # White space, word characters and digits by Unicode, as classes for the regex engine.
 SPACES = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -60,7 +60,13 @@ def is_content(token: Column) -> Column:
 
 
 def strip_accents(term: Column) -> Column:
-    return F.translate(term, *accent_map())
+    """``term`` in compatibility decomposition without combining marks.
+
+    Common letters go by a map; a term with any other character goes through the Unicode library of the JVM.
+    """
+    other, marks = accent_classes()
+    whole = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), term, F.lit(True))
+    return F.when(term.rlike(other), F.regexp_replace(whole, marks, "")).otherwise(F.translate(term, *accent_map()))
 
 
 def stem_czech(term: Column) -> Column:

@@ -11,8 +11,15 @@ _TOKEN = f"{URL}|{_DATE}|{NUMBER}|{WORD}|{TAG}|{PUNCT}"
 _CONTENT = f"regexp_matches(tok, '^[{WORDS}]') and not regexp_matches(tok, '^(?:https?://.|www\\..)')"
 
 
+# Characters of the tables that compatibility decomposition changes, which DuckDB does not do.
+_COMPATIBLE = {"𝔘": "U", "𝔫": "n", "𝔦": "i", "ⅳ": "iv", "½": "1\u2044\u0032", "한": "\u1112\u1161\u11ab", "국": "\u1100\u116e\u11a8", "어": "\u110b\u1165"}
+
+
 def _fold(x: str) -> str:
-    return f"strip_accents({x})"
+    out = f"strip_accents({x})"
+    for char, several in _COMPATIBLE.items():
+        out = f"replace({out}, '{char}', '{several}')"
+    return out
 
 
 def _filled(x: str) -> str:

@@ -48,20 +48,33 @@ def language_code(language: str | None) -> str:
         raise ValueError(f"language {language!r} is none of cs, sk, en") from None
 
 
+#: Code point from which characters are decomposed by the Unicode library instead of by the map.
+FAR = 0x600
+
+
+def _bare(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+
+
 @lru_cache(maxsize=1)
 def accent_map() -> tuple[str, str]:
-    """Letters and digits beside their form without marks, by compatibility decomposition.
+    """Letters and digits before ``FAR`` beside their form without marks, by compatibility decomposition, where that is one character."""
+    pairs = [(chr(k), _bare(chr(k))) for k in range(0xAA, FAR) if chr(k).isalnum()]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
 
-    Covers every character of the basic plane that becomes exactly one other character; the
-    few that become several keep their form.
-    """
-    source, target = [], []
-    for point in range(0xAA, 0x10000):
-        char = chr(point)
-        if not char.isalnum():
-            continue
-        bare = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(bare) == 1 and bare != char and ord(bare) < 0x10000:
-            source.append(char)
-            target.append(bare)
-    return "".join(source), "".join(target)
+@lru_cache(maxsize=1)
+def accent_classes() -> tuple[str, str]:
+    """Classes for the regex engine: what the map does not cover (characters that become several, and those from ``FAR``), and marks that are dropped."""
+    several = "".join(chr(k) for k in range(0xAA, FAR) if len(_bare(chr(k))) > 1)
+    marks, start = [], None
+    for k in range(0x300, 0x1F000):
+        on = unicodedata.combining(chr(k)) > 0
+        if on and start is None:
+            start = k
+        if not on and start is not None:
+            marks.append(rf"\x{{{start:x}}}-\x{{{k - 1:x}}}")
+            start = None
+    low = "".join(rf"\x{{{k:x}}}" for k in range(0x300, FAR) if unicodedata.combining(chr(k)))
+    return f"[{several}{low}\\x{{{FAR:x}}}-\\x{{10ffff}}]", "[" + "".join(marks) + "]"
