@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import has_text
+from glosswork.llm.bitmap import marked
 from glosswork.llm.hashing import WordHashes, hash64, signed
 from glosswork.operators.graph import components
 from glosswork.session import cut, written
@@ -27,8 +28,6 @@ REGION, BLOCK = 512, 4096
 SKETCH, MOST_BITS = 192, 66
 #: Share of the texts from which hot keys are told, and bound on their number. This places rows, it drops none.
 SAMPLE, HOT_KEYS = 64, 20_000
-#: Bits of the filter that keeps texts which no candidate needs from moving; a fixed size.
-FILTER_BITS = 2**24
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -325,25 +324,14 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _only(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``pages`` less most of those whose page_id is not in ``wanted``.
-
-    The filter is a bitmap of ``FILTER_BITS`` bits, 64 to a row, so its size is bounded whatever the number of pages; it lets some
-    through that are not wanted and none out that is.
-    """
-    place = F.pmod(F.xxhash64("page_id"), F.lit(FILTER_BITS))
-    bits = wanted.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(page_id), {FILTER_BITS}) % 64 as int))").alias("_bit"))
-    table = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    met = pages.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(table), "_word")
-    return met.where(F.expr("shiftrightunsigned(_bits, cast(_place % 64 as int)) & 1L = 1L")).select(*pages.columns)
-
-
 def similar_classes(pages: DataFrame, signed_rows: DataFrame, member: DataFrame, width: int = 3, threshold: float = 0.5) -> DataFrame:
     """(a, b, similarity): classes whose sets of runs of ``width`` words overlap by ``threshold`` or more of their union."""
     pairs = candidates(signed_rows)
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     first = cut(member.join(needed, "class", "left_semi").groupBy("class").agg(F.min("page_id").alias("page_id")))
-    texts = _only(pages.select("page_id", "article_text").where(has_text(F.col("article_text"))), first).join(first, "page_id").select("class", "article_text")
+    kept = pages.select("page_id", "article_text").where(has_text(F.col("article_text")))
+    near = marked(kept, F.col("page_id"), first.select(F.col("page_id").alias("key"))).where("_marked").drop("_marked")  # so that most texts do not move
+    texts = near.join(first, "page_id").select("class", "article_text")
     sets = cut(texts.mapInArrow(_sets(width), "class bigint, shingles array<bigint>").dropDuplicates(["class"]))
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
