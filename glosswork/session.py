@@ -18,30 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """``table`` for work that is heavy per row: one of fewer splits than the cluster has cores is dealt out by ``key``.
+    """``table`` for work that is heavy per row: one of too few splits for the cluster's cores is dealt out by ``key``.
 
-    A large table has splits enough, by the size of its files, and is left as it is, so nothing is shuffled.
+    A large table has splits enough, by the number or the size of its files, and is left as it is, so nothing is shuffled.
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    files = sum(-(-n // split) for _, n, _ in _files(df))
-    return df if files >= cores else df.repartition(cores, key)
+    where = _places(df)
+    enough = sum(len(x.inputFiles()) for x in where) >= cores or sum(x.sizeInBytes() for x in where) >= split * cores
+    return df if enough else df.repartition(cores, key)
 
 
-def _files(df: DataFrame) -> list[tuple[str, int, int]]:
-    """(path, bytes, time) of the files that ``df`` is read from."""
-    spark, out = df.sparkSession, []
-    for name in sorted(df.inputFiles()):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        out.append((name, status.getLen(), status.getModificationTime()))
-    return out
+def _leaves(df: DataFrame) -> list:
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return [leaves.apply(k) for k in range(leaves.size())]
+
+
+def _places(df: DataFrame) -> list:
+    """Where the tables of files lie that ``df`` is read from, as Spark's planner knows them."""
+    return [x.relation().location() for x in _leaves(df) if x.getClass().getSimpleName() == "LogicalRelation" and hasattr(x.relation(), "location")]
 
 
 def stamp_of(df: DataFrame) -> str:
-    """Tells what ``df`` is: its plan, and the state of the files that it is read from."""
-    return md5(repr((_files(df), df._jdf.queryExecution().analyzed().canonicalized().semanticHash())).encode()).hexdigest()
+    """Tells what ``df`` is: its plan, and the folders or files that it is read from with their size and time of change."""
+    spark, told = df.sparkSession, [x.getClass().getSimpleName() for x in _leaves(df)]
+    for where in _places(df):
+        for i in range(where.rootPaths().size()):
+            path = where.rootPaths().apply(i)
+            status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            told.append((path.toString(), status.getModificationTime(), status.getLen()))
+        told.append(where.sizeInBytes())
+    return md5(repr((told, df._jdf.queryExecution().analyzed().canonicalized().semanticHash())).encode()).hexdigest()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
