@@ -15,6 +15,8 @@ from glosswork.functions.analyze import terms as analyse
 from glosswork.operators.rank import small
 
 _LEX = re.compile(r"\s*(?:([()])|(and|or|not)\b|([^\s()]+))", re.IGNORECASE)
+#: Terms of a single query up to which each has a column of its own.
+FLAGS = 60
 _BINDS = {"NOT": 3, "AND": 2, "OR": 1}
 
 
@@ -149,11 +151,18 @@ def _holds_for_none(parsed: Parsed) -> bool:
 def search(postings: DataFrame, universe: DataFrame, parsed: Parsed) -> DataFrame:
     """(doc_id, score): the documents that meet the query, score 1.0.
 
-    One pass over the postings of the query's terms sets one flag per term and document; the universe is read
+    One pass over the postings of the query's terms sets one flag per term and document, or, beyond ``FLAGS`` terms, one bit; the universe is read
     only if a document without any of the terms can meet the query. A query with a mistake finds nothing.
     """
     if parsed.error:
         return universe.select("doc_id", F.lit(1.0).alias("score")).where(F.lit(False))
+    if len(parsed.terms) > FLAGS:
+        met = _met(postings, [parsed])
+        if _holds_for_none(parsed):
+            found = universe.select("doc_id").join(met.where("not met").select("doc_id"), "doc_id", "left_anti")
+        else:
+            found = met.where("met").select("doc_id")
+        return found.select("doc_id", F.lit(1.0).alias("score"))
     names = {t: f"f{k}" for k, t in enumerate(parsed.terms)}
     flags = postings.where(F.col("term").isin(parsed.terms)).groupBy("doc_id").agg(*(F.max(F.col("term") == t).alias(c) for t, c in names.items()))
     if _holds_for_none(parsed):

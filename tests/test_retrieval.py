@@ -78,6 +78,8 @@ def test_boolean_truth_table(spark, toy):
 def test_boolean_queries_of_many_terms(spark, toy):
     docs = spark.createDataFrame(DOCS, "doc_id string, text string")
     words = " OR ".join(f"none{k}" for k in range(150))
+    for query, want in ((f"({words}) OR cat", {"d1"}), (f"NOT ({words}) AND dog", {"d1", "d2", "d10"}), (f"NOT ({words} OR cat)", {"d2", "d3", "d10"})):
+        assert {r["doc_id"] for r in boolean.search(toy.postings, docs, boolean.parse(query, _normalise)).collect()} == want
     queries = [("a", f"({words}) OR cat"), ("b", f"NOT ({words}) AND dog"), ("a", "bird"), (None, "fish"), ("c", None)]
     got = boolean.hit_counts(toy.postings, docs, queries, _normalise).collect()
     assert sorted((r["qid"] or "", r["hits"]) for r in got) == [("", 3), ("a", 1), ("a", 1), ("b", 3), ("c", 0)]
