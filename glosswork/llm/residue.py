@@ -34,7 +34,7 @@ LIFT = 3
 # Status codes of HTTP and their phrases, which error pages have as titles.
 STATUS = {400: "bad request", 401: "unauthorized", 403: "forbidden", 404: "not found", 410: "gone", 429: "too many requests", 500: "internal server error", 502: "bad gateway", 503: "service unavailable", 504: "gateway timeout"}
 # Other whole titles of pages that are none, and titles that were never filled in.
-OTHER_TITLES = ("error", "chyba", "page not found", "stránka nenájdená", "stránka nenalezena", "just a moment", "please wait", "loading", "test", "xxx", "untitled", "lorem ipsum")
+OTHER_TITLES = ("error", "chyba", "page not found", "stránka nenájdená", "stránka nenalezena", "just a moment", "please wait", "loading", "test", "xxx", "untitled", "lorem ipsum", "javascript", "javascript required", "javascript disabled")
 DUMMY_TITLES = ("title", "article title", "title here", "headline", "headline here", "nadpis", "nadpis sem", "nadpis článku", "titulok", "titulok článku", "titulek", "titulek článku", "názov článku", "název článku")
 # A demand for scripts in each language, the trusted examples among lines.
 EXAMPLES = ("Zapnite si JavaScript a obnovte stránku.", "Zapněte si JavaScript a obnovte stránku.", "Please turn on JavaScript and reload.")
