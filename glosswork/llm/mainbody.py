@@ -28,7 +28,7 @@ _SPLIT = re.compile(r"\s*[|·›/•]\s*|\s{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 # Wordings of what stands around an article, in Slovak, Czech and English. They label the training pages.
-_AROUND = re.compile(
+_WORDINGS = re.compile(
     r"cookie|súkromi|soukromí|your privacy|(?:váš|your) (?:súhlas|souhlas|consent)|(?:prijať|přijmout|accept) (?:všetko|vše|all)|(?:spravovať|spravovat|manage) \w+"
     r"|zdieľa[jtň]|sdílej|sdílen|\bshare[d]?\b.{0,30}(?:social|times|save|print|this)|páči sa vám|líbí se vám|enjoyed it|send it to a friend|pošlite ho|pošlete ho"
     r"|autorsk\w+ (?:práv|zákon)|práva vyhra|rights reserved|copyright|©|nezodpoved|neodpovíd|not responsible|protected by|under the terms|obchodn[éí] podm|terms (?:of use|and conditions)|ochrana (?:osobn|súkrom)|osobn(?:ých|ích) údaj|licen[cs]"
@@ -73,9 +73,9 @@ def recurring(pages: DataFrame, sample: DataFrame) -> DataFrame:
 def _worded(line: str, n: int) -> bool:
     """True for the wording of what stands around an article; in a line of over 40 words, at least half of its sentences must have it."""
     if n <= 40:
-        return bool(_AROUND.search(line))
+        return bool(_WORDINGS.search(line))
     parts = _SENTENCE.split(line)
-    return 2 * sum(bool(_AROUND.search(x)) for x in parts) >= len(parts)
+    return 2 * sum(bool(_WORDINGS.search(x)) for x in parts) >= len(parts)
 
 
 def silver(pages: list[list[tuple[str, bool]]]) -> list[list[int]]:
@@ -102,51 +102,63 @@ def _bucket(n: int) -> int:
     return n if n < 4 else 3 + int(n).bit_length()
 
 
-def features(lines: list[str]) -> list[list[str]]:
-    """Names of the features of each non-blank line of a page.
-
-    The distinct words of the line, marks of the beginning and the end, length,
-    capitals, separators, the place on the page, and the length of the neighbours. The records hold no
-    markup, so there are no tags of ancestors.
-    """
+def _own(line: str, count: int, ends: bool) -> list[str]:
+    """Features of a line by itself: its distinct words, marks of its beginning and end, length, capitals, separators."""
+    tokens = _TOKEN.findall(line)
+    words, capitals = [], 0
+    for i, x in enumerate(tokens):
+        if x[0].isalpha():
+            capitals += x[0].isupper()
+            words.append("w " + x.lower() if x[0].islower() or i < 2 else "W " + x.lower())
+        elif x[0].isdigit():
+            words.append("w 0")
+        else:
+            words.append("p " + x)
+    shape = [
+        "bias",
+        f"len {_bucket(count)}",
+        f"end {ends} {count >= 8}",
+        f"caps {4 * capitals // max(1, len(tokens))} {count >= 8}",
+        f"start {tokens[0].lower() if tokens and not tokens[0].isdigit() else '0'}",
+        f"last {tokens[-1].lower() if tokens and not tokens[-1].isdigit() else '0'}",
+        f"sentences {min(3, line.count('. ') + line.count('! ') + line.count('? '))}",
+    ]
+    lead, colon, _ = line[:40].partition(":")
+    if colon and len(lead.split()) <= 4:
+        shape.append(f"lead {lead.strip().lower()}")
+    if len(tokens) > 1:
+        shape.append(f"two {tokens[0].lower()} {tokens[1].lower() if not tokens[1].isdigit() else '0'}")
+    return shape + list(dict.fromkeys(words))
+
+
+def _around(lines: list[str]) -> tuple[list[int], list[bool], list[tuple[str, ...]]]:
+    """Of the lines of a page: their lengths in words, whether they end like a sentence, and the features of their place and neighbours."""
     n = len(lines)
     counts = [len(x.split()) for x in lines]
     ends = [bool(_END.search(x)) for x in lines]
     long = [k for k in range(n) if counts[k] >= 14 and ends[k]]
     first, last = (long[0], long[-1]) if long else (n, -1)
-    out = []
-    for k, line in enumerate(lines):
-        tokens = _TOKEN.findall(line)
-        words, capitals = [], 0
-        for i, x in enumerate(tokens):
-            if x[0].isalpha():
-                capitals += x[0].isupper()
-                words.append("w " + x.lower() if x[0].islower() or i < 2 else "W " + x.lower())
-            elif x[0].isdigit():
-                words.append("w 0")
-            else:
-                words.append("p " + x)
-        shape = [
-            "bias",
-            f"len {_bucket(counts[k])}",
-            f"end {ends[k]} {counts[k] >= 8}",
-            f"caps {4 * capitals // max(1, len(tokens))} {counts[k] >= 8}",
-            f"start {tokens[0].lower() if tokens and not tokens[0].isdigit() else '0'}",
-            f"last {tokens[-1].lower() if tokens and not tokens[-1].isdigit() else '0'}",
-            f"sentences {min(3, line.count('. ') + line.count('! ') + line.count('? '))}",
+    names = [
+        (
             f"place {'before' if k < first else 'after' if k > last else 'within'} {_bucket(counts[k])} {ends[k]}",
             f"from {min(k, 3)}",
             f"to {min(n - 1 - k, 3)}",
             f"next {k + 1 < n and counts[k + 1] >= 14}",
             f"previous {k > 0 and counts[k - 1] >= 14}",
-        ]
-        lead, colon, _ = line[:40].partition(":")
-        if colon and len(lead.split()) <= 4:
-            shape.append(f"lead {lead.strip().lower()}")
-        if len(tokens) > 1:
-            shape.append(f"two {tokens[0].lower()} {tokens[1].lower() if not tokens[1].isdigit() else '0'}")
-        out.append(shape + list(dict.fromkeys(words)))
-    return out
+        )
+        for k in range(n)
+    ]
+    return counts, ends, names
+
+
+def features(lines: list[str]) -> list[list[str]]:
+    """Names of the features of each non-blank line of a page.
+
+    Those of the line by itself, its place on the page, and the length of its neighbours. The records hold no
+    markup, so there are no tags of ancestors.
+    """
+    counts, ends, names = _around(lines)
+    return [_own(line, counts[k], ends[k]) + list(names[k]) for k, line in enumerate(lines)]
 
 
 @dataclass
@@ -155,13 +167,28 @@ class Field:
 
     weights: dict[str, float] = field(default_factory=dict)
     steps: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
+    known: dict[str, float] = field(default_factory=dict, compare=False)
+
+    def _scores(self, lines: list[str]) -> list[float]:
+        """The score of label 1 of each line; what a line scores by itself is remembered, as many recur."""
+        get, known = self.weights.get, self.known
+        if len(known) > 50_000:
+            known.clear()
+        counts, ends, names = _around(lines)
+        out = []
+        for k, line in enumerate(lines):
+            own = known.get(line)
+            if own is None:
+                own = known[line] = sum([get(x, 0.0) for x in _own(line, counts[k], ends[k])])
+            out.append(own + sum([get(x, 0.0) for x in names[k]]))
+        return out
 
     def decode(self, lines: list[str]) -> list[int]:
         """The most likely labels of the non-blank lines of a page (Viterbi)."""
         if not lines or not self.weights:
             return [0] * len(lines)
-        get, (s00, s01, s10, s11) = self.weights.get, self.steps
-        emitted = [sum([get(x, 0.0) for x in names]) for names in features(lines)]
+        s00, s01, s10, s11 = self.steps
+        emitted = self._scores(lines)
         a, b, back = 0.0, emitted[0], []
         for e in emitted[1:]:
             from0, from1 = a + s00 < b + s10, a + s01 < b + s11
