@@ -19,22 +19,30 @@ _ID_LIKE = ("id", "ids", "doc_id", "document_id", "docno", "url")
 def read_records(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """The records of a JSON or JSON-lines file or folder.
 
-    ``.jsonl`` is read by line. Other files are read whole (a list of records or one
-    record), and by line where that yields nothing but corrupt text. A malformed record raises unless
+    ``.jsonl`` is read by line. Of other files the first line tells: they are read by line if it is a whole record, else
+    whole (a list of records or one record). A malformed record raises unless
     ``lenient``, which leaves it out. A missing path raises, unless ``lenient``, which then gives no rows and no columns.
     """
     if lenient and not exists(spark, path):
         return spark.createDataFrame([], "")
     reader = spark.read.option("mode", "DROPMALFORMED" if lenient else "FAILFAST")
-    if path.endswith((".jsonl", ".ndjson")):
-        return reader.json(path)
-    whole = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    if set(whole.columns) - {"_corrupt_record"} and "_corrupt_record" not in whole.columns:
-        lines = spark.read.option("mode", "PERMISSIVE").json(path)
-        return lines if set(whole.columns) <= set(lines.columns) and "_corrupt_record" not in lines.columns else reader.option("multiLine", True).json(path)
+    if not path.endswith((".jsonl", ".ndjson")) and not _by_line(spark, path):
+        reader = reader.option("multiLine", True)
     return reader.json(path)
 
 
+def _by_line(spark: SparkSession, path: str) -> bool:
+    first = spark.read.text(path).where(~is_blank(F.col("value"))).first()
+    line = first["value"].strip() if first else ""
+    if line[:1] != "{":
+        return line[:1] != "["
+    try:
+        json.loads(line)
+    except ValueError:
+        return False
+    return True
+
+
 def text_of(row_keys: list[str], columns: list[str]) -> Column:
     """The first of the keys whose value is not blank, stripped."""
     there = [k for k in row_keys if k in columns]

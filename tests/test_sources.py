@@ -15,7 +15,10 @@ def test_json_and_lines(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"id": 1, "text": "x"}\n{"id": 2, "text": "y"}\n')
     (tmp_path / "c.json").write_text('{"id": 1, "text": "x"}\n{"id": 2, "text": "y"}\n')
     (tmp_path / "d.jsonl").write_text('{"id": 1, "text": "x"}\nbroken\n')
-    for name in ("a.json", "b.jsonl", "c.json"):
+    (tmp_path / "e.json").write_text(json.dumps([{"id": 1, "text": "x"}, {"id": 2, "text": "y"}]))
+    (tmp_path / "f.json").write_text(json.dumps({"id": 1, "text": "x"}, indent=1))
+    assert [(r["id"], r["text"]) for r in records.read_records(spark, str(tmp_path / "f.json")).collect()] == [(1, "x")]
+    for name in ("a.json", "b.jsonl", "c.json", "e.json"):
         assert {(r["id"], r["text"]) for r in records.read_records(spark, str(tmp_path / name)).collect()} == {(1, "x"), (2, "y")}, name
     with pytest.raises(Exception):
         records.read_records(spark, str(tmp_path / "d.jsonl")).collect()
