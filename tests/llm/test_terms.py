@@ -107,3 +107,46 @@ def test_top_terms_ties(spark):
     for r in sorted(distinctive.top_terms(distinctive.term_scores(_rows(spark, rows))).collect(), key=lambda r: r["place"]):
         got[r["doc_id"]].append(r["term"])
     assert got == {"a": ["a", "b", "c"], "b": ["a", "b", "c"]}
+
+
+def test_rows_that_stay_in_place_are_those_that_count(spark):
+    import random
+
+    from glosswork.llm.latest import latest, latest_in_place
+
+    rng = random.Random(4)
+    rows = [(k if k % 17 else None, rng.choice(["baseline", "stemming", None]), rng.choice([None, *map(str, range(150))]), [f"t{k}"], "x") for k in range(400)]
+    docs = _rows(spark, rows)
+    pick = lambda df: sorted(((r["pipeline"] or "", r["doc_id"] or "", r["tokens"][0]) for r in df.collect()))
+    one, two = pick(latest(docs.where("row_id is not null"), "tokens")), pick(latest_in_place(docs.where("row_id is not null"), "tokens"))
+    assert one == two and len(one) > 200
+    assert latest_in_place(docs.where("false"), "tokens").count() == 0
+    again = docs.union(docs)
+    assert latest_in_place(again, "tokens").count() == latest(again, "tokens").count()
+
+
+def test_filter_of_fixed_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from glosswork.llm import bitmap
+
+    rows = spark.range(2000).withColumnRenamed("id", "page_id")
+    wanted = spark.range(0, 2000, 40).select(F.col("id").alias("key"))
+    for bits in (2**24, 128):
+        monkeypatch.setattr(bitmap, "BITS", bits)
+        hit = {r["page_id"] for r in bitmap.marked(rows, F.col("page_id"), wanted).where("_marked").collect()}
+        assert set(range(0, 2000, 40)) <= hit and (len(hit) < 60 if bits > 128 else len(hit) > 100)
+    assert bitmap.marked(rows, F.col("page_id"), wanted.where("false")).where("_marked").count() == 0
+    assert bitmap.marked(rows, F.col("page_id"), wanted).columns == ["page_id", "_marked"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_runs_over_batch_borders(size):
+    import pyarrow as pa
+
+    triples = sorted([(p, t, d) for p in ("a", "b") for t in ("x", "y", "z") for d in ("1", "2", "3") for _ in range(ord(t) % 3 + 1)])
+    columns = list(zip(*triples))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in columns], names=["pipeline", "term", "doc_id"]) for k in range(0, len(triples), size)]
+    got = {(r["pipeline"], r["term"]): (r["occurrences"], r["records"]) for b in frequency._runs(iter(batches)) for r in b.to_pylist()}
+    want = {(p, t): (3 * (ord(t) % 3 + 1), 3) for p in ("a", "b") for t in ("x", "y", "z")}
+    assert got == want
