@@ -23,7 +23,8 @@ LEAST_REPEATS, ONE_IN = 8, 200
 ROUNDS, RATE, DECAY = 150, 0.5, 2e-5
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
-_END = re.compile(r"[.!?…][\"“”'’»)\]]*$|[“”\"]$")
+#: What ends a sentence, what may stand behind that, and quotation marks that end a line by themselves.
+_STOPS, _BEHIND, _MARKS = ".!?…", "\"“”'’»)]", "“”\""
 _SPLIT = re.compile(r"\s*[|·›/•]\s*|\s{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
@@ -91,13 +92,19 @@ def silver(pages: list[list[tuple[str, bool]]]) -> list[list[int]]:
         for line, recurs in page:
             n = len(line.split())
             parts = [x for x in _SPLIT.split(line) if x]
-            menu = len(parts) > 2 and all(len(x.split()) <= 3 for x in parts) and not _END.search(line)
-            numbered = bool(_ITEM.match(line)) and n <= 14 and not _END.search(line)
+            menu = len(parts) > 2 and all(len(x.split()) <= 3 for x in parts) and not _ended(line)
+            numbered = bool(_ITEM.match(line)) and n <= 14 and not _ended(line)
             labels.append(int(bool(_TEASER.match(line)) or menu or numbered or (recurs and n <= 45) or _worded(line, n)))
         out.append(labels)
     return out
 
 
+def _ended(line: str) -> bool:
+    """True for a line that ends like a sentence."""
+    left = line.rstrip(_BEHIND)
+    return bool(line) and (line[-1] in _MARKS or (bool(left) and left[-1] in _STOPS))
+
+
 def _bucket(n: int) -> int:
     return n if n < 4 else 3 + int(n).bit_length()
 
@@ -135,7 +142,7 @@ def _around(lines: list[str]) -> tuple[list[int], list[bool], list[tuple[str, ..
     """Of the lines of a page: their lengths in words, whether they end like a sentence, and the features of their place and neighbours."""
     n = len(lines)
     counts = [len(x.split()) for x in lines]
-    ends = [bool(_END.search(x)) for x in lines]
+    ends = [_ended(x) for x in lines]
     long = [k for k in range(n) if counts[k] >= 14 and ends[k]]
     first, last = (long[0], long[-1]) if long else (n, -1)
     names = [
