@@ -9,7 +9,8 @@ from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
+_CLEANED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,14 +72,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isDefined():
-        return context.getCheckpointDir().get()
+        own = context.getCheckpointDir().get()
+        if own not in _CLEANED:  # it is this session's alone, below the folder that was set
+            _CLEANED.add(own)
+            atexit.register(_delete, spark, own)
+        return own
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="glosswork-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return checkpoint_folder(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone; the folder then stays
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -91,11 +104,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder; what is put there goes with ``release``, at the latest when the program ends."""
+    """A fresh path in the shared folder; what is put there goes with ``release`` or when the program ends."""
     path = f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(release)
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, kind, path))
     return path
 
 
@@ -106,12 +117,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes all folders of ``new_folder``. Results that are not read yet must not need them any more."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone; the folder then stays
-            pass
+def release(kind: str | None = None) -> None:
+    """Deletes the folders of ``new_folder``, all or those of one ``kind`` (``table`` for those of ``written``).
+
+    For sessions that run many queries; results that are not read yet must not need the folders any more.
+    """
+    for entry in [x for x in _WRITTEN if kind in (None, x[1])]:
+        _WRITTEN.remove(entry)
+        _delete(entry[0], entry[2])

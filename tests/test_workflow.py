@@ -151,3 +151,17 @@ def test_crawl_rounds_and_state(spark, tmp_path):
     (tmp_path / "old.json").write_text(json.dumps({"pending_urls": ["a"], "visited_urls": ["b"], "request_delay": 3}, indent=1))
     queue, settings = crawl.load_state(spark, str(tmp_path / "old.json"))
     assert {tuple(r) for r in queue.collect()} == {("a", "pending"), ("b", "visited")} and settings["request_delay"] == 3
+
+
+def test_folders_are_released(spark):
+    from glosswork import session
+
+    kept = session.new_folder(spark, "other")
+    spark.range(3).write.parquet(kept)
+    table = session.written(spark.range(3))
+    path = table.inputFiles()[0].rpartition("/")[0]
+    assert table.count() == 3 and session.exists(spark, path)
+    session.release("table")
+    assert not session.exists(spark, path) and session.exists(spark, kept)
+    session.release("other")
+    assert not session.exists(spark, kept)
