@@ -33,7 +33,8 @@ def _longest(docs: DataFrame, least_pages: int) -> DataFrame:
     The common prefixes are found by doubling: a block that is repeated has all its prefixes repeated, so the length is built
     from the largest power of two down, each round asking of every suffix whether its prefix, longer by that power, is still on
     pages enough. It is if so many pages ask for it in this round, or if it begins a block that an earlier round found repeated; of
-    these, each content is taken once however many pages have it. The rounds are as many as the logarithm of the longest run of repeated lines.
+    these, each content is taken once however many pages have it. The rounds are as many as the logarithm of the longest run of repeated lines;
+    the work on a run of n lines grows as n squared, for each page as hashing, for each content in rows.
     """
     size = F.size("name")
     runs = F.aggregate("i", F.struct(F.lit(-2).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("most")), _run_step)["most"]
@@ -51,20 +52,28 @@ def _longest(docs: DataFrame, least_pages: int) -> DataFrame:
         asked = docs.select("doc", "page_id", "site", F.explode(F.transform(fits, lambda x: F.struct(x["p"].alias("p"), x["longer"].alias("longer"), F.xxhash64(F.slice("name", x["p"] + 1, x["longer"])).alias("block")))).alias("x"))
         asked = asked.select("doc", "page_id", "site", "x.*")
         good = _on_many_pages(asked, ["site", "longer", "block"], least_pages).union(_beginnings(docs, step))
-        hits = asked.join(good, ["site", "longer", "block"], "left_semi").groupBy("doc").agg(F.collect_set("p").alias("hits"))
-        grown = F.transform("length", lambda n, p: n + F.when(F.coalesce(F.array_contains("hits", p), F.lit(False)), step).otherwise(0))  # noqa: B023
-        docs = cut(docs.join(hits, "doc", "left").withColumn("length", grown).drop("hits"))
+        hits = asked.join(good, ["site", "longer", "block"], "left_semi").select("doc", F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, p & 63)").alias("bit"))
+        every = docs.select("doc", F.explode(F.sequence(F.lit(0), F.shiftright(size - 1, 6))).alias("word"), F.lit(0).cast("bigint").alias("bit"))
+        words = every.unionByName(hits).groupBy("doc", "word").agg(F.bit_or("bit").alias("bits")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+        hit = lambda p: F.call_function("shiftrightunsigned", F.get("words", F.shiftright(p, 6))["bits"], p.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint"))
+        grown = F.transform("length", lambda n, p: n + hit(p).cast("int") * step)  # noqa: B023
+        docs = cut(docs.join(words, "doc").withColumn("length", grown).drop("words"))
         step //= 2
     return docs
 
 
 def _beginnings(docs: DataFrame, step: int) -> DataFrame:
-    """(site, longer, block): the beginnings, of the lengths that are asked for in the round of ``step``, of the blocks found so far."""
-    parts = F.transform("length", lambda n, p: F.struct(n.alias("length"), F.slice("name", p + 1, n).alias("names")))
-    found = docs.select("site", F.explode(F.filter(parts, lambda x: x["length"] > step)).alias("x"))
-    contents = found.groupBy("site", "x.length", F.xxhash64("x.names").alias("block")).agg(F.first("x.names").alias("names"))
-    begun = contents.select("site", "names", F.explode(F.sequence(F.lit(1 + step), F.col("length"), F.lit(2 * step))).alias("longer"))
-    return begun.select("site", "longer", F.xxhash64(F.slice("names", F.lit(1), F.col("longer"))).alias("block")).distinct()
+    """(site, longer, block): the beginnings, of the lengths that are asked for in the round of ``step``, of the blocks found so far.
+
+    Of each content one place stands for all.
+    """
+    block = lambda p, n: F.xxhash64(F.slice("name", p + 1, n))
+    places = F.transform("length", lambda n, p: F.struct(n.alias("length"), p.alias("p"), F.when(n > step, block(p, n)).alias("block")))
+    found = docs.select("doc", "site", F.explode(F.filter(places, lambda x: x["length"] > step)).alias("x"))
+    contents = found.groupBy("site", "x.length", "x.block").agg(F.min(F.struct("doc", F.col("x.p").alias("p"))).alias("at"))
+    shown = contents.select("site", "length", "at.doc", "at.p").join(docs.select("doc", "name"), "doc")
+    begun = shown.select("site", F.explode(F.transform(F.sequence(F.lit(1 + step), F.col("length"), F.lit(2 * step)), lambda n: F.struct(n.alias("longer"), block(F.col("p"), n).alias("block")))).alias("x"))
+    return begun.select("site", "x.longer", "x.block").distinct()
 
 
 def _run_step(state: Column, at: Column) -> Column:

@@ -243,6 +243,16 @@ def test_site_blocks_against_brute_force(spark):
     assert got == _blocks(rows, 8) and max(n for *_, n in got) >= 9 and len(got) > 200
 
 
+def test_site_blocks_of_very_many_lines(spark):
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    long = "\n".join(f"line {name(k)}" for k in range(400))
+    rows = [(k, "https://s.example", None, long if k % 2 else long + f"\nown {name(k)}") for k in range(8)] + [(9, "https://s.example", None, long[: len(long) // 2] + " " + "x" * 300_000)]
+    got = {tuple(r) for r in sitelines.repeated_blocks(_pages(spark, rows)).collect()}
+    half = len((long[: len(long) // 2]).split("\n")) - 1
+    assert got == {(k, 1, 400) for k in range(8)} | {(9, 1, half)}
+    assert sitelines.repeated_lines(_pages(spark, rows)).count() == 8 * 400 + half
+
+
 def test_site_blocks_and_removal(spark):
     rows = [(k, "https://s.example", None, f"Top {chr(97 + k)}\nFirst line\n\nSecond line\nown {chr(97 + k)}\nFirst line") for k in range(9)] + [(50, "https://s.example", None, None), (51, None, None, "First line"), (None, "https://s.example", None, "First line")]
     pages = _pages(spark, rows)
@@ -407,3 +417,16 @@ def test_random_field_without_pages(spark):
 
 def test_numbers_count_blank_lines():
     assert mainbody._lines("a\n\n b \n\n") == ([1, 3], ["a", "b"])
+
+
+def test_odd_rows_in_all_operators(spark):
+    long = " ".join(f"slovo{k % 997}" for k in range(120_000))
+    rows = [(1, "https://s.example/a", "x", long), (1, "https://s.example/a", "x", long), (2, None, None, long + " koniec"), (None, "https://s.example/b", "404", "x y z"), (3, "::", "", ""), (4, "https://s.example", "\n", " \xa0\n"), (5, "https://s.example", None, None), (6, "https://s.example", "t", "a\n" * 5_000 + "{" * 50_000)]
+    pages = _pages(spark, rows)
+    assert {tuple(r) for r in neardup.near_pairs(pages).collect()} == {(1, 2)}
+    assert {(r["page_id"], r["group_id"], r["links"]) for r in neardup.groups(pages).collect()} == {(1, 1, 1), (2, 1, 1), (6, 6, 0)}
+    assert residue.residue_pages(pages).count() == 0
+    assert sitelines.repeated_lines(pages, least_pages=1).where("page_id = 6").count() == 5_000
+    model = mainbody.fit(pages)
+    assert mainbody.lines_around(pages, model).select("page_id").distinct().count() <= 4
+    assert formatting.records(pages).where("page_id = 1").first()["copies"] == 2
