@@ -37,6 +37,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(text_table(spark, d, "crawled_pages", "page_id"))
 
 
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The same pages, with what tells them: themselves, or only links to others."""
+    return residue.evidence(text_table(spark, d, "crawled_pages", "page_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.copies(table(spark, d, "crawled_pages"))
 
